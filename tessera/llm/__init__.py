@@ -1,0 +1,10 @@
+"""Training-data operators. Nothing else in the library imports this subpackage.
+
+Functions that run on executors are shipped by value, so workers need no copy of the package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
