@@ -70,6 +70,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def salt(k: int, by: int = 0x9E3779B97F4A7C15) -> np.uint64:
+    """k times an odd constant, modulo 2**64."""
+    return np.uint64(k * by & 0xFFFFFFFFFFFFFFFF)
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0x100000001B3) -> np.ndarray:
     """A 64-bit hash of each buf[start:end], by differences of a polynomial prefix sum and a finaliser over the length."""
     n = len(buf)
