@@ -1,0 +1,7 @@
+"""All queries over the driver's tables."""
+
+from __future__ import annotations
+
+from ..catalog import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
