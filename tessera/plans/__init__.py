@@ -3,5 +3,6 @@
 from __future__ import annotations
 
 from ..catalog import QUERIES, SQL
+from . import relational_sql
 
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["QUERIES", "SQL", "relational_sql"]
