@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from ..catalog import QUERIES, SQL
-from . import relational_sql
+from . import relational_sql, text_queries
 
-__all__ = ["QUERIES", "SQL", "relational_sql"]
+__all__ = ["QUERIES", "SQL", "relational_sql", "text_queries"]
