@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .common import Scratch, ascii_space, by_size, col, mix, runs, salt, span_hashes
 
@@ -129,7 +130,7 @@ def profile(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, bands:
     return out.select("rid", "doc_id", "p.key", "p.bands", "p.size", "p.layers")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     one = lambda x, y: len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True))
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
@@ -154,6 +155,21 @@ def classes(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         label = new.select("node", "label")
 
 
+def _shared_sizes(sets: DataFrame, among: DataFrame) -> DataFrame:
+    """(rid, shared): how many members of a set occur in another of the sets `among` as well. No similarity can rest on the
+    others, so least(shared) bounds the overlap of a pair."""
+
+    def numbers(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for page in pages:
+            own = [np.frombuffer(x, np.uint32) for x in page["layers"]]
+            yield pd.DataFrame({"rid": np.repeat(page["rid"].to_numpy(), [len(x) for x in own]), "x": np.concatenate([*own, np.empty(0, np.uint32)]).view(np.int32)})
+
+    own = sets.join(among, "rid").select("rid", "size", "layers")
+    alone = own.mapInPandas(numbers, "rid long, x int").groupBy("x").agg(F.min("rid").alias("rid"), F.count("*").alias("n")).where("n = 1")
+    alone = alone.groupBy("rid").agg(F.count("*").alias("alone"))
+    return own.select("rid", "size").join(alone, "rid", "left").select("rid", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest doc_id of its class), class_size, kept.
 
@@ -198,15 +214,35 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
 
     edges = edges.unionByName(linked(apart(to_pivot.distinct()), "links2"))
     label = classes(edges, scratch, "c2")
-    now = full.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", "size", "pivot", F.coalesce("label", "rid").alias("label"))
-    now = scratch.save(now, "now")
-    mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("bucket")
-    rest = scratch.save(now.join(mixed, "bucket").where("rid <> pivot").select("bucket", "rid", "size", "label"), "rest")
-    left, right = rest.select("bucket", F.col("rid").alias("a"), F.col("size").alias("sa"), F.col("label").alias("ca")), rest.select("bucket", F.col("rid").alias("b"), F.col("size").alias("sb"), F.col("label").alias("cb"))
-    across = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("sa", "sb")).select("a", "b").distinct()
-    edges = edges.unionByName(linked(across, "links3"))
+
+    def mixed(size: str) -> DataFrame:
+        """Members of the buckets that still hold more than one class, and the commonest class of the bucket."""
+        now = full.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", "size", F.coalesce("label", "rid").alias("label"))
+        share = now.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        most = share.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("kinds"), F.sum("n").alias("all"))
+        most = most.where("kinds > 1 and all > 2").select("bucket", F.col("most.label").alias("main"))
+        return scratch.save(now.join(most, "bucket"), size)
+
+    rest = mixed("rest1")
+    common = _shared_sizes(sets, rest.select("rid").distinct())
+    common = scratch.save(common, "common")
+    rest = rest.join(common, "rid")
+    central = rest.groupBy("bucket").agg(F.min(F.struct((1 - F.col("shared") / F.col("size")).alias("own"), F.col("rid").alias("rid"))).alias("c"))
+    central = scratch.save(central.select("bucket", F.col("c.rid").alias("b")), "central")
+    to_center = rest.join(central, "bucket").where("rid <> b").select(F.col("rid").alias("a"), "b").distinct()
+    edges = edges.unionByName(linked(apart(to_center), "links3"))
     label = classes(edges, scratch, "c3")
 
+    rest = mixed("rest2").join(common, "rid").where(F.col("shared") >= threshold * F.col("size") - 1e-9)
+    rest = scratch.save(rest, "rest3")
+    left = rest.where("label <> main").select("bucket", F.col("rid").alias("a"), F.col("size").alias("sa"), F.col("shared").alias("ma"), F.col("label").alias("ca"))
+    right = rest.select("bucket", F.col("rid").alias("b"), F.col("size").alias("sb"), F.col("shared").alias("mb"), F.col("label").alias("cb"), (F.col("label") == F.col("main")).alias("inner"))
+    overlap = F.least("ma", "mb")
+    possible = (F.col("ca") != F.col("cb")) & (F.col("inner") | (F.col("a") < F.col("b"))) & (overlap >= threshold * (F.col("sa") + F.col("sb") - overlap) - 1e-9)
+    across = left.join(right, "bucket").where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = edges.unionByName(linked(across, "links4"))
+    label = classes(edges, scratch, "c4")
+
     whole = member.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rid", "doc_id", F.coalesce("label", "rep").alias("label"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
     group = whole.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("class_size"))

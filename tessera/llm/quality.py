@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import ascii_space, by_size, col, fold, mix, runs, sampled, span_hashes
 
@@ -53,7 +54,7 @@ def _encoded(batch: pd.Series) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch]
 
 
-@F.pandas_udf("ids binary, n binary")
+@F.pandas_udf(StructType([StructField("ids", BinaryType()), StructField("n", BinaryType())]))
 def _bag(batch: pd.Series) -> pd.DataFrame:
     out = []
     for text in _encoded(batch):

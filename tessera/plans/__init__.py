@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from ..catalog import QUERIES, SQL
-from . import relational_sql, text_queries
+from . import composite, relational_sql, text_queries
+
+__all__ = ["QUERIES", "SQL", "composite", "flagship", "relational_sql", "text_queries"]
+
 
-__all__ = ["QUERIES", "SQL", "relational_sql", "text_queries"]
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return composite.series_class(spark, sf_dir)
