@@ -21,8 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import Scratch, ascii_space, by_size, col, mix, runs, salt, span_hashes
 
@@ -30,6 +31,8 @@ WORDS = 5
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 THRESHOLD = 0.8
+CENTRAL = 8  # texts of a bucket that all its members are compared with, where it holds several classes
+GROUPS = 64  # of shingles, whose counts bound the overlap of two texts
 PIECE = 1 << 19  # bytes worked on at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,19 +158,27 @@ def classes(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         label = new.select("node", "label")
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _grouped(layers: pd.Series, alone: pd.Series) -> pd.Series:
+    count = lambda x: np.bincount(x % GROUPS, minlength=GROUPS)
+    of = lambda x, y: count(np.frombuffer(x, np.uint32)) - (0 if y is None else count(np.asarray(y, np.int32).view(np.uint32)))
+    return pd.Series([of(x, y).astype(np.int32) for x, y in zip(layers, alone, strict=True)])
+
+
 def _shared_sizes(sets: DataFrame, among: DataFrame) -> DataFrame:
-    """(rid, shared): how many members of a set occur in another of the sets `among` as well. No similarity can rest on the
-    others, so least(shared) bounds the overlap of a pair."""
+    """(rid, groups, shared): how many members of a set occur in another of the sets `among` as well, by GROUPS hashed groups
+    and in all. Similarity can only rest on these, so the sum of the smaller group counts bounds the overlap of a pair."""
 
     def numbers(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
             own = [np.frombuffer(x, np.uint32) for x in page["layers"]]
             yield pd.DataFrame({"rid": np.repeat(page["rid"].to_numpy(), [len(x) for x in own]), "x": np.concatenate([*own, np.empty(0, np.uint32)]).view(np.int32)})
 
-    own = sets.join(among, "rid").select("rid", "size", "layers")
+    own = sets.join(among, "rid").select("rid", "layers")
     alone = own.mapInPandas(numbers, "rid long, x int").groupBy("x").agg(F.min("rid").alias("rid"), F.count("*").alias("n")).where("n = 1")
-    alone = alone.groupBy("rid").agg(F.count("*").alias("alone"))
-    return own.select("rid", "size").join(alone, "rid", "left").select("rid", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    alone = alone.groupBy("rid").agg(F.collect_list("x").alias("alone"))
+    out = own.join(alone, "rid", "left").select("rid", _grouped("layers", "alone").alias("groups"))
+    return out.select("rid", "groups", F.aggregate("groups", F.lit(0), lambda n, x: n + x).alias("shared"))
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -212,8 +223,15 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
         both = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
         return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    edges = edges.unionByName(linked(apart(to_pivot.distinct()), "links2"))
-    label = classes(edges, scratch, "c2")
+    def joined(pairs: DataFrame, name: str) -> None:
+        """Add the links among these pairs; without new ones the classes stay as they are."""
+        nonlocal edges, label
+        new = linked(pairs, name)
+        if not new.isEmpty():
+            edges = edges.unionByName(new)
+            label = classes(edges, scratch, f"{name}-classes")
+
+    joined(apart(to_pivot.distinct()), "links2")
 
     def mixed(size: str) -> DataFrame:
         """Members of the buckets that still hold more than one class, and the commonest class of the bucket."""
@@ -224,24 +242,25 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
         return scratch.save(now.join(most, "bucket"), size)
 
     rest = mixed("rest1")
-    common = _shared_sizes(sets, rest.select("rid").distinct())
-    common = scratch.save(common, "common")
-    rest = rest.join(common, "rid")
-    central = rest.groupBy("bucket").agg(F.min(F.struct((1 - F.col("shared") / F.col("size")).alias("own"), F.col("rid").alias("rid"))).alias("c"))
-    central = scratch.save(central.select("bucket", F.col("c.rid").alias("b")), "central")
-    to_center = rest.join(central, "bucket").where("rid <> b").select(F.col("rid").alias("a"), "b").distinct()
-    edges = edges.unionByName(linked(apart(to_center), "links3"))
-    label = classes(edges, scratch, "c3")
-
-    rest = mixed("rest2").join(common, "rid").where(F.col("shared") >= threshold * F.col("size") - 1e-9)
-    rest = scratch.save(rest, "rest3")
-    left = rest.where("label <> main").select("bucket", F.col("rid").alias("a"), F.col("size").alias("sa"), F.col("shared").alias("ma"), F.col("label").alias("ca"))
-    right = rest.select("bucket", F.col("rid").alias("b"), F.col("size").alias("sb"), F.col("shared").alias("mb"), F.col("label").alias("cb"), (F.col("label") == F.col("main")).alias("inner"))
-    overlap = F.least("ma", "mb")
-    possible = (F.col("ca") != F.col("cb")) & (F.col("inner") | (F.col("a") < F.col("b"))) & (overlap >= threshold * (F.col("sa") + F.col("sb") - overlap) - 1e-9)
-    across = left.join(right, "bucket").where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = edges.unionByName(linked(across, "links4"))
-    label = classes(edges, scratch, "c4")
+    if not rest.isEmpty():
+        common = _shared_sizes(sets, rest.select("rid").distinct())
+        common = scratch.save(common, "common")
+        rest = rest.join(common, "rid")
+        place = F.row_number().over(W.partitionBy("bucket").orderBy(1 - F.col("shared") / F.col("size"), "rid"))  # only CENTRAL rows a task and bucket are moved
+        central = scratch.save(rest.withColumn("place", place).where(F.col("place") <= CENTRAL).select("bucket", F.col("rid").alias("b")), "central")
+        to_center = rest.join(central, "bucket").where("rid <> b").select(F.greatest("rid", "b").alias("a"), F.least("rid", "b").alias("b")).distinct()
+        joined(apart(to_center), "links3")
+
+        rest = mixed("rest2").join(common, "rid").where(F.col("shared") >= threshold * F.col("size") - 1e-9)
+        rest = scratch.save(rest, "rest3")
+        left = rest.where("label <> main").select("bucket", F.col("rid").alias("a"), F.col("size").alias("sa"), F.col("shared").alias("ma"), F.col("groups").alias("ga"), F.col("label").alias("ca"))
+        right = rest.select("bucket", F.col("rid").alias("b"), F.col("size").alias("sb"), F.col("shared").alias("mb"), F.col("groups").alias("gb"), F.col("label").alias("cb"), (F.col("label") == F.col("main")).alias("inner"))
+        overlap = F.aggregate(F.zip_with("ga", "gb", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+        rough = F.least("ma", "mb")  # cheaper, so it comes first
+        possible = (F.col("ca") != F.col("cb")) & (F.col("inner") | (F.col("a") < F.col("b"))) & (rough >= threshold * (F.col("sa") + F.col("sb") - rough) - 1e-9)
+        possible = possible & (overlap >= threshold * (F.col("sa") + F.col("sb") - overlap) - 1e-9)
+        across = left.join(right, "bucket").where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        joined(across, "links4")
 
     whole = member.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rid", "doc_id", F.coalesce("label", "rep").alias("label"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
