@@ -83,6 +83,12 @@ def cells_of(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return mix(hashes + salt(row + 1, 0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
 
 
+def stretches(labels: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal labels; none of an empty array."""
+    cut = np.flatnonzero(np.diff(labels, prepend=-1)).tolist()
+    return list(zip(cut, [*cut[1:], len(labels)], strict=True)) if cut else []
+
+
 def _chunked(size: int):
     def gather(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, k, rows, total = TaskContext.get().partitionId(), 0, [], 0
@@ -135,8 +141,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 for row in range(DEPTH):
                     cells, n = np.unique(cells_of(hashes, row, bits), return_counts=True)
                     shard = (cells >> np.uint64(shard_bits)).astype(np.int64)
-                    cut = np.flatnonzero(np.diff(shard, prepend=-1))
-                    out = [(row, int(shard[a]), chunk, planes(cells[a:b] & low), np.packbits(n[a:b] > 1).tobytes()) for a, b in zip(cut, [*cut[1:], len(cells)], strict=True)]
+                    out = [(row, int(shard[a]), chunk, planes(cells[a:b] & low), np.packbits(n[a:b] > 1).tobytes()) for a, b in stretches(shard)]
                     yield pd.DataFrame(out, columns=["row", "shard", "chunk", "cells", "many"])
 
     def merge(page: pd.DataFrame) -> pd.DataFrame:
@@ -164,8 +169,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 for row in range(DEPTH):
                     cells, back = np.unique(cells_of(hashes, row, bits), return_inverse=True)
                     shard = (cells >> np.uint64(shard_bits)).astype(np.int64)
-                    cut = np.flatnonzero(np.diff(shard, prepend=-1))
-                    flags = [np.unpackbits(np.frombuffer(told[row, int(shard[a])], np.uint8), count=b - a) for a, b in zip(cut, [*cut[1:], len(cells)], strict=True)]
+                    flags = [np.unpackbits(np.frombuffer(told[row, int(shard[a])], np.uint8), count=b - a) for a, b in stretches(shard)]
                     hot &= np.concatenate(flags)[back].astype(bool)
                 at = np.flatnonzero(hot)
                 h1, h2 = hashes[at], more[at]
@@ -179,8 +183,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 keys = np.array([np.iinfo(np.int64).max if x is None or x != x else int(x) for x in ids], np.int64)
                 h1, h2, at = h1[first], h2[first], at[first]
                 group = (h1 >> np.uint64(1) >> np.uint64(63 - group_bits)).astype(np.int64)
-                cut = np.flatnonzero(np.diff(group, prepend=-1))
-                for a, b in zip(cut, [*cut[1:], len(h1)], strict=True):
+                for a, b in stretches(group):
                     out.append((chunk, int(group[a]), h1[a:b].tobytes(), h2[a:b].tobytes(), keys[doc[at[a:b]]].tobytes(), at[a:b].astype("<u4").tobytes()))
                 yield pd.DataFrame(out, columns=["chunk", "part", "h1", "h2", "doc", "at"])
 
