@@ -10,7 +10,6 @@ at 0.5 or more are its offending spans. Documents are read whole.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,34 +119,39 @@ def forward_backward(emit: np.ndarray, first: np.ndarray, length: np.ndarray, mo
     return marginal, counts
 
 
-def _evidence(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Hashes whose share of toxic documents exceeds that of clean ones with enough evidence."""
-    out = []
-    for key, a in toxic.items():
-        b = clean.get(key, 0)
-        pa, pb, p = a / n_toxic, b / n_clean, (a + b) / (n_toxic + n_clean)
-        if pa <= 10 * pb:
-            continue
-        ll = lambda k, n, q: k * np.log(max(q, 1e-12)) + (n - k) * np.log(max(1 - q, 1e-12))
-        if 2 * (ll(a, n_toxic, pa) + ll(b, n_clean, pb) - ll(a, n_toxic, p) - ll(b, n_clean, p)) >= EVIDENCE:
-            out.append(key)
-    return np.array(out, np.uint64)
+def _evidence(key: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Those keys whose share of toxic documents exceeds that of clean ones with enough evidence."""
+    _, first = np.unique(key ^ mix(doc.astype(np.uint64) + np.uint64(1)), return_index=True)  # once a document
+    names, back = np.unique(key[first], return_inverse=True)
+    a = np.bincount(back, labels[doc[first]])
+    b = np.bincount(back) - a
+    n, m = labels.sum(), (1 - labels).sum()
+    pa, pb, p = a / n, b / m, (a + b) / (n + m)
+    ll = lambda k, of, q: k * np.log(np.maximum(q, 1e-12)) + (of - k) * np.log(np.maximum(1 - q, 1e-12))
+    ratio = 2 * (ll(a, n, pa) + ll(b, m, pb) - ll(a, n, p) - ll(b, m, p))
+    return names[(pa > 10 * pb) & (ratio >= EVIDENCE)]
+
+
+def _in_pieces(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """tokens() of many texts, PIECE bytes at a time, so that the memory taken is that of the tokens."""
+    parts, sentence = [], 0
+    for part in by_size([len(t) for t in texts], PIECE):
+        t = tokens(texts[part])
+        own = {k: t[k] for k in ("word", "stem", "ending")} | {"doc": t["doc"] + part.start, "sentence": t["sentence"] + sentence}
+        sentence += int(t["sentence"][-1]) + 2 if len(t["sentence"]) else 0
+        parts.append(own)
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
 
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 4_000) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
     """Feature weights, bias, transition and start scores, learned from whole texts and their 0/1 labels."""
-    t = tokens(texts)
-    n_toxic, n_clean = int(labels.sum()), int((1 - labels).sum())
     weights, bias, move, start = np.zeros(BUCKETS), -5.0, np.zeros((2, 2)), np.zeros(2)
-    if not n_toxic or not n_clean:
+    if not labels.sum() or not (1 - labels).sum():
         return weights, bias, move, start
-    toxic_token = labels[t["doc"]] == 1
+    t = _in_pieces(texts)
     gold = np.zeros(len(t["word"]), bool)
     for kind in ("word", "stem"):
-        pairs = np.unique(np.stack([t["doc"].astype(np.uint64), t[kind]], 1), axis=0)
-        own = labels[pairs[:, 0].astype(np.int64)] == 1
-        keys = _evidence(Counter(pairs[own, 1].tolist()), Counter(pairs[~own, 1].tolist()), n_toxic, n_clean)
-        gold |= toxic_token & np.isin(t[kind], keys)
+        gold |= (labels[t["doc"]] == 1) & np.isin(t[kind], _evidence(t[kind], t["doc"], labels))
     first, length = chains(t["sentence"])
     rng = np.random.default_rng(SEED)
     has = np.add.reduceat(gold.astype(np.int64), first) > 0 if len(first) else np.empty(0, bool)
