@@ -158,6 +158,19 @@ def classes(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         label = new.select("node", "label")
 
 
+def trees(parent: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, label) of every a of parent(a, b), which has one row an a and b < a: the root of its tree, by pointer jumping."""
+    own = scratch.save(parent.select(F.col("a").alias("node"), F.col("b").alias("label")), f"{name}-0")
+    step = 0
+    while True:
+        step += 1
+        jump = own.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        new = scratch.save(own.join(jump, "label", "left").select("node", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")), f"{name}-{step}")
+        own = new.select("node", "label")
+        if new.where("moved").isEmpty():
+            return own
+
+
 @F.pandas_udf(ArrayType(IntegerType()))
 def _grouped(layers: pd.Series, alone: pd.Series) -> pd.Series:
     count = lambda x: np.bincount(x % GROUPS, minlength=GROUPS)
@@ -208,40 +221,45 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
         """Those of pairs(a, b) that are similar enough."""
         sizes = sets.select(F.col("rid"), F.col("size"))
         both = pairs.join(sizes.select(F.col("rid").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("rid").alias("b"), F.col("size").alias("nb")), "b")
-        both = both.where(fits("na", "nb"))
+        both = scratch.save(both.where(fits("na", "nb")), f"{name}-pairs")  # of known size: layers move only where pairs are many
         met = both.join(sets.select(F.col("rid").alias("a"), F.col("layers").alias("la")), "a").join(sets.select(F.col("rid").alias("b"), F.col("layers").alias("lb")), "b")
         shared = met.select("a", "b", "na", "nb", _overlap("la", "lb").alias("shared"))
         return scratch.save(shared.where(F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).select("a", "b"), name)
 
     to_pivot = full.where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b"))
-    edges = linked(to_pivot.groupBy("a").agg(F.min("b").alias("b")), "links1")
-    label = classes(edges, scratch, "c1")
+    label = trees(linked(to_pivot.groupBy("a").agg(F.min("b").alias("b")), "links1"), scratch, "trees")  # a class's first text has no row
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different classes so far."""
+    def ends(pairs: DataFrame) -> DataFrame:
+        """Pairs whose ends are in different classes so far, and these classes."""
         at = lambda n: label.select(F.col("node").alias(n), F.col("label").alias(f"c{n}"))
         both = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
-        return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        return both.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
     def joined(pairs: DataFrame, name: str) -> None:
-        """Add the links among these pairs; without new ones the classes stay as they are."""
-        nonlocal edges, label
+        """Add the links among these pairs: whole classes become nodes, so only what is new is closed."""
+        nonlocal label
         new = linked(pairs, name)
-        if not new.isEmpty():
-            edges = edges.unionByName(new)
-            label = classes(edges, scratch, f"{name}-classes")
+        if new.isEmpty():
+            return
+        to = classes(ends(new).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), scratch, f"{name}-classes").where("node <> label")
+        onto = to.select(F.col("node").alias("label"), F.col("label").alias("low"))
+        moved = label.join(onto, "label", "left").select("node", F.coalesce("low", "label").alias("label"))
+        label = scratch.save(moved.unionByName(to), f"{name}-label")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        return ends(pairs).select("a", "b")
 
     joined(apart(to_pivot.distinct()), "links2")
 
-    def mixed(size: str) -> DataFrame:
+    def mixed() -> DataFrame:
         """Members of the buckets that still hold more than one class, and the commonest class of the bucket."""
         now = full.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", "size", F.coalesce("label", "rid").alias("label"))
         share = now.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         most = share.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("kinds"), F.sum("n").alias("all"))
         most = most.where("kinds > 1 and all > 2").select("bucket", F.col("most.label").alias("main"))
-        return scratch.save(now.join(most, "bucket"), size)
+        return now.join(most, "bucket")
 
-    rest = mixed("rest1")
+    rest = scratch.save(mixed(), "rest1")
     if not rest.isEmpty():
         common = _shared_sizes(sets, rest.select("rid").distinct())
         common = scratch.save(common, "common")
@@ -251,8 +269,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
         to_center = rest.join(central, "bucket").where("rid <> b").select(F.greatest("rid", "b").alias("a"), F.least("rid", "b").alias("b")).distinct()
         joined(apart(to_center), "links3")
 
-        rest = mixed("rest2").join(common, "rid").where(F.col("shared") >= threshold * F.col("size") - 1e-9)
-        rest = scratch.save(rest, "rest3")
+        rest = mixed().join(common, "rid").where(F.col("shared") >= threshold * F.col("size") - 1e-9)
+        rest = scratch.save(rest, "rest2")
         left = rest.where("label <> main").select("bucket", F.col("rid").alias("a"), F.col("size").alias("sa"), F.col("shared").alias("ma"), F.col("groups").alias("ga"), F.col("label").alias("ca"))
         right = rest.select("bucket", F.col("rid").alias("b"), F.col("size").alias("sb"), F.col("shared").alias("mb"), F.col("groups").alias("gb"), F.col("label").alias("cb"), (F.col("label") == F.col("main")).alias("inner"))
         overlap = F.aggregate(F.zip_with("ga", "gb", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
