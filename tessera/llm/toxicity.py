@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size, col, fold, mix, sampled, span_hashes
+from .near_dedup import M, ROWS, bag, shingles, signatures
 
 BUCKETS = 1 << 18
 SEED = 411
@@ -143,6 +144,20 @@ def _in_pieces(texts: list[bytes]) -> dict[str, np.ndarray]:
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
 
+def _apart(texts: list[bytes], labels: np.ndarray) -> list[int]:
+    """Numbers of the texts that are no near copy of an earlier one of their label (no band of their signatures agrees):
+    the words of a text that was copied often would else pass for evidence."""
+    seen, keep = set(), []
+    for part in by_size([len(t) for t in texts], PIECE):
+        of = signatures(*bag(*shingles(texts[part])), part.stop - part.start)
+        for i, row in enumerate(of, part.start):
+            own = {(int(labels[i]), k, row[k : k + ROWS].tobytes()) for k in range(0, M, ROWS)}
+            if seen.isdisjoint(own):
+                keep.append(i)
+            seen |= own
+    return keep
+
+
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 4_000) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
     """Feature weights, bias, transition and start scores, learned from whole texts and their 0/1 labels."""
     weights, bias, move, start = np.zeros(BUCKETS), -5.0, np.zeros((2, 2)), np.zeros(2)
@@ -189,7 +204,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int =
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN):
     """Learn from a bounded sample of labels(doc_id, label) where train_rows holds; null labels and ids teach nothing.
 
-    Of repeated ids the largest label counts, of equal texts one is used. The ids of the sample are bounded, so they are
+    Of repeated ids the largest label counts, of equal texts and near copies one is used. The ids of the sample are bounded, so they are
     broadcast; the driver gets the sample's texts only.
     """
     rows = labels.where(train_rows).select(F.col("doc_id"), col(label).cast("int").alias("label"))
@@ -200,7 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "to
     rows = rows.limit(2 * (max_toxic + max_clean))
     got = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(rows), "doc_id").toPandas()
     got = got.sort_values("doc_id").drop_duplicates("text")
-    return train([x.encode("utf-8", "surrogatepass") for x in got["text"]], got["label"].to_numpy(np.int64))
+    texts, known = [x.encode("utf-8", "surrogatepass") for x in got["text"]], got["label"].to_numpy(np.int64)
+    keep = _apart(texts, known)
+    return train([texts[i] for i in keep], known[keep])
 
 
 def tag(docs: DataFrame, model, text: str = "text", spans: bool = True) -> DataFrame:
