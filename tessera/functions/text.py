@@ -1,9 +1,13 @@
-"""Text functions as Column expressions; all stay in the JVM, none needs a UDF."""
+"""Text functions as Column expressions; all stay in the JVM but casefold_norm."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NUMBER = r"^[+-]?[0-9]*\.?[0-9]+$"
 
@@ -77,3 +81,36 @@ def strip_annotations(text: Column) -> Column:
 
 def ellipsis(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit("…"))).otherwise(text)
+
+
+def person_key(name: Column) -> Column:
+    """Last name and first initial, lower-cased: suffixes (Jr, Sr, II, III, IV) go, 'Last, First' is flipped."""
+    bare = F.trim(F.regexp_replace(name, r"(?i)[ ,]+(jr|sr|ii|iii|iv)\.?$", ""))
+    comma = F.instr(bare, ",") > 0
+    first = F.when(comma, F.trim(F.substring_index(bare, ",", -1))).otherwise(bare)
+    last = F.when(comma, F.trim(F.substring_index(bare, ",", 1))).otherwise(F.substring_index(bare, " ", -1))
+    return F.lower(F.concat(last, F.lit("|"), F.left(first, F.lit(1))))
+
+
+def haversine(lat: Column, lon: Column, to_lat: Column, to_lon: Column) -> Column:
+    """Kilometres along a great circle."""
+    square = lambda x: F.pow(F.sin(F.radians(x) / 2), F.lit(2))
+    return 12742 * F.asin(F.sqrt(F.least(F.lit(1.0), square(to_lat - lat) + F.cos(F.radians(to_lat)) * F.cos(F.radians(lat)) * square(to_lon - lon))))
+
+
+def rfc_date(text: Column) -> Column:
+    """The date of 'Wed, 4 Jan 1995 00:00:00 GMT', the weekday being optional; null for anything else."""
+    return F.try_to_date(F.nullif(F.regexp_extract(text, r"^(?:[A-Za-z]{3}, )?([0-9]{1,2} [A-Za-z]{3} [0-9]{4})\b", 1), F.lit("")), "d MMM yyyy")
+
+
+def short_number(value: Column) -> Column:
+    """1234567 to 1.23M and 1234 to 1.23K, halves up; below 1000 as it is."""
+    part = lambda unit: (value + unit // 200).cast("long")
+    two = lambda unit: F.concat(F.floor(part(unit) / unit).cast("string"), F.lit("."), F.lpad((F.floor(part(unit) / (unit // 100)) % 100).cast("string"), 2, "0"))
+    return F.when(value >= 999_995, F.concat(two(1_000_000), F.lit("M"))).when(value >= 1000, F.concat(two(1000), F.lit("K"))).otherwise(value.cast("string"))
+
+
+@F.pandas_udf(StringType())
+def casefold_norm(text: pd.Series) -> pd.Series:
+    """NFKC, case folded, white space squeezed; null stays null. No built-in function normalises Unicode."""
+    return text.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).casefold().split()), na_action="ignore")
