@@ -47,15 +47,18 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec
             for page in pages:
                 if not len(page):
                     continue
+                page = page.sort_values(key)  # so that of equal similarities the smallest keys come first
                 own = np.stack(page[vector].to_numpy()).astype(np.float64)
                 own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
                 names = page[key].to_numpy()
-                similar = base @ own.T
+                similar = np.round(base @ own.T, 12)  # the last bits depend on the shape of the blocks
                 similar[ids[:, None] == names[None, :]] = -np.inf
-                n = min(k + 8, len(names))
-                part = np.argpartition(-similar, n - 1, axis=1)[:, :n]
-                value = np.take_along_axis(similar, part, 1)
-                out = pd.DataFrame({key: np.repeat(ids, n), "neighbour": names[part].ravel(), "similarity": value.ravel()})
+                n = min(k, len(names))
+                least = -np.partition(-similar, n - 1, axis=1)[:, n - 1 : n]
+                above, level = similar > least, similar == least
+                keep = above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= n - above.sum(1, keepdims=True)))
+                row, at = np.nonzero(keep)
+                out = pd.DataFrame({key: ids[row], "neighbour": names[at], "similarity": similar[row, at]})
                 yield out[np.isfinite(out["similarity"])]
 
         part = vectors.select(key, vector).mapInPandas(near, f"{key} {kind}, neighbour {kind}, similarity double")
