@@ -93,7 +93,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rate: f
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "quality", max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
     """Learn from rows of labels(doc_id, label) where train_rows holds, at most about max_train of them.
 
-    Null labels and ids teach nothing; of repeated ids the smallest label counts. The ids of the sample are at most
+    Null labels and ids teach nothing; of repeated ids the smallest label and text count. The ids of the sample are at most
     2 x max_train rows, so broadcasting them is bounded; the driver gets the sample's bags of buckets only.
     """
     rows = labels.where(train_rows).select(F.col("doc_id"), col(label).cast("int").alias("label"))
@@ -103,6 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "qu
         rows = rows.where(sampled(F.col("doc_id"), max_train / there, SEED))
     rows = rows.limit(2 * max_train)
     own = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    own = own.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # an id may be repeated without bound
     got = own.select("doc_id", "label", _bag(F.col("text")).alias("bag")).select("doc_id", "label", "bag.ids", "bag.n").toPandas().sort_values("doc_id")
     bags = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in zip(got["ids"], got["n"], strict=True)]
     return train(bags, got["label"].to_numpy(np.int64))

@@ -204,7 +204,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int =
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN):
     """Learn from a bounded sample of labels(doc_id, label) where train_rows holds; null labels and ids teach nothing.
 
-    Of repeated ids the largest label counts, of equal texts and near copies one is used. The ids of the sample are bounded, so they are
+    Of repeated ids the largest label and the smallest text count, of equal texts and near copies one is used. The ids of the sample are bounded, so they are
     broadcast; the driver gets the sample's texts only.
     """
     rows = labels.where(train_rows).select(F.col("doc_id"), col(label).cast("int").alias("label"))
@@ -213,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "to
     keep = F.when(F.col("label") == 1, sampled(F.col("doc_id"), min(1.0, max_toxic / max(there.get(1, 0), 1)), SEED))
     rows = rows.where(keep.otherwise(sampled(F.col("doc_id"), min(1.0, max_clean / max(there.get(0, 0), 1)), SEED)))
     rows = rows.limit(2 * (max_toxic + max_clean))
-    got = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(rows), "doc_id").toPandas()
+    got = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(rows), "doc_id")
+    got = got.groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas()  # an id may be repeated without bound
     got = got.sort_values("doc_id").drop_duplicates("text")
     texts, known = [x.encode("utf-8", "surrogatepass") for x in got["text"]], got["label"].to_numpy(np.int64)
     keep = _apart(texts, known)
