@@ -1,6 +1,6 @@
 """From documents to packed training sequences: each stage works on all that its predecessor kept.
 
-A document is known by its doc_id (null counts as an id): a stage's decision holds for every row of that id.
+A document is a row: a stage numbers the rows of its input and decides on each, so repeated and null doc_ids are no matter.
 """
 
 from __future__ import annotations
@@ -14,11 +14,19 @@ from tessera.llm.common import Scratch, fold
 MIN_LANGUAGE = 0.05  # least cosine with the nearest language
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without those ids. They are written first, so that Spark knows their size: it sends them to the executors if
-    they are below its broadcast threshold, and shuffles beyond it."""
-    gone = Scratch(docs.sparkSession).save(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+ROW = "__row"  # number of a row of a stage's input
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written so that every later read sees the same numbers."""
+    return Scratch(docs.sparkSession).save(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Numbered rows without those numbers. These are written first, so that Spark knows their size: it sends them to the
+    executors if they are below its broadcast threshold, and shuffles beyond it."""
+    gone = Scratch(rows.sparkSession).save(numbers.select(F.col(ROW).alias("__gone")).distinct(), "gone")
+    return rows.join(gone, rows[ROW] == gone["__gone"], "left_anti").drop(ROW)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,17 +37,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.dedup(docs.select("doc_id", "text")).where("NOT kept"))
+    """One row of each group of equal texts stays."""
+    rows = _numbered(docs)
+    return _without(rows, exact_dedup.dedup(rows.select("doc_id", "text", ROW), row=ROW).where("NOT kept"))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays."""
-    return _without(docs, near_dedup.near_classes(docs.select("doc_id", "text")).where("NOT kept"))
+    """One row of each class stays."""
+    rows = _numbered(docs)
+    return _without(rows, near_dedup.near_classes(rows.select("doc_id", "text", ROW), row=ROW).where("NOT kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    return _without(docs, decontam.matches(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    rows = _numbered(docs)
+    return _without(rows, decontam.matches(rows.select(ROW, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=ROW).withColumnRenamed("doc_id", ROW))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,11 +30,11 @@ def _named(distinct: DataFrame, by: list[str]) -> DataFrame:
     return distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def identities(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, digest_bits: int = 256) -> DataFrame:
-    """(rid, doc_id, points, sha, level, name) for every row of docs: rid is the row's own number, points the code points
+def identities(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, digest_bits: int = 256, row: str | None = None) -> DataFrame:
+    """(rid, doc_id, points, sha, level, name) for every row of docs: rid is the row's own number (column `row`, if given), points the code points
     of the text as given, sha the SHA-256 of the normalised text. Equal (level, name): equal normalised texts."""
     own = docs.select(
-        F.monotonically_increasing_id().alias("rid"), col(doc_id).alias("doc_id"),
+        (col(row) if row else F.monotonically_increasing_id()).alias("rid"), col(doc_id).alias("doc_id"),
         F.length(F.coalesce(col(text), F.lit(""))).cast("long").alias("points"), without_space(col(text)).cast("binary").alias("body"),
     )
     n = F.greatest(F.ceil(F.octet_length("body") / block), F.lit(1)).cast("int")
@@ -74,19 +74,20 @@ def identities(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     return about.join(whole, "rid")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, digest_bits: int = 256) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, digest_bits: int = 256, row: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and `row` if given: a column of distinct long
+    numbers that tells rows apart and says which is first.
 
     Texts are equal when identical after deleting [\\x20\\x09-\\x0D]; a null text counts as empty. Of equal texts the row
     with the most code points stays, then the smallest doc_id (nulls last), then the first row. Of rows that share a
     doc_id at most one per group stays. An empty table gives no rows; other columns of docs don't matter.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.save(identities(docs, scratch, doc_id, text, block, digest_bits), "found")
+    found = scratch.save(identities(docs, scratch, doc_id, text, block, digest_bits, row), "found")
     order = F.struct(-F.col("points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
     groups = found.groupBy("level", "name").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
     out = found.join(groups, ["level", "name"])
-    return out.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return out.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), F.col("sha").alias("text_sha256"), *([F.col("rid").alias(row)] if row else []))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

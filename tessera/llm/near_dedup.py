@@ -104,9 +104,9 @@ def layers(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.unique((mix(np.repeat(h, weight) + rank.astype(np.uint64) * _STEP) >> np.uint64(32)).astype(np.uint32))
 
 
-def profile(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def profile(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, row: str | None = None) -> DataFrame:
     """rid, doc_id, key (digest of the words), bands, size, layers of every row; texts are read whole."""
-    own = docs.select(F.monotonically_increasing_id().alias("rid"), col(doc_id).alias("doc_id"), col(text).alias("text"))
+    own = docs.select((col(row) if row else F.monotonically_increasing_id()).alias("rid"), col(doc_id).alias("doc_id"), col(text).alias("text"))
 
     @F.pandas_udf("key binary, bands array<long>, size int, layers binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -194,8 +194,9 @@ def _shared_sizes(sets: DataFrame, among: DataFrame) -> DataFrame:
     return out.select("rid", "groups", F.aggregate("groups", F.lit(0), lambda n, x: n + x).alias("shared"))
 
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the smallest doc_id of its class), class_size, kept.
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, row: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (the smallest doc_id of its class), class_size, kept, and `row` if given: a
+    column of distinct long numbers that tells rows apart and says which is first.
 
     Classes are the connected components of texts whose multisets of lower-case five-word shingles have a weighted
     Jaccard similarity of threshold or more. Texts of equal words are always of one class, texts without a word among
@@ -203,7 +204,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     smallest doc_id (nulls last), then the first row. No rows give no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.save(profile(docs, doc_id, text), "profile")
+    rows = scratch.save(profile(docs, doc_id, text, row=row), "profile")
     first = rows.groupBy("key").agg(F.min("rid").alias("rep"))
     member = scratch.save(rows.select("rid", "doc_id", "key").join(first, "key").select("rid", "doc_id", "rep"), "member")
     reps = rows.select("rid", "bands", "size").join(member.where("rid = rep").select("rid"), "rid")
@@ -283,7 +284,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     whole = member.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rid", "doc_id", F.coalesce("label", "rep").alias("label"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
     group = whole.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("class_size"))
-    return whole.join(group, "label").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept"))
+    return whole.join(group, "label").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept"), *([F.col("rid").alias(row)] if row else []))
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -256,3 +256,22 @@ def test_pipeline(spark, small):
     near = near_dedup.near_classes(docs)
     assert near.where("NOT kept").count() == 0
     assert cp.pack(spark, docs, small).select("doc_id").distinct().count() == docs.count() > 100
+
+
+def test_pipeline_repeated_and_null_ids(spark, tmp_path):
+    """Each stage drops rows, not ids."""
+    import corpus_pipeline as cp
+
+    near = " ".join(f"w{i}" for i in range(60))
+    item = "what is the boiling point of water at sea level in degrees"
+    rows = [(7, "x one"), (7, "x one"), (7, "y two"), (3, "x one"), (None, "unique null"), (None, "twice null"), (None, "twice null"), (8, near), (8, near + " w60"), (None, "so then, my dear pupils, tell me now: " + item), (9, item), (9, "clean nine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    once = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    want = [(3, "x one"), (7, "y two"), (None, "unique null"), (None, "twice null"), (8, near), (8, near + " w60"), (None, "so then, my dear pupils, tell me now: " + item), (9, item), (9, "clean nine")]
+    got = cp.dedup_exact(spark, docs, str(tmp_path))
+    assert once(got) == sorted(want, key=repr)
+    got = cp.dedup_near(spark, got, str(tmp_path))
+    assert once(got) == sorted(set(want) - {(8, near + " w60")}, key=repr)
+    got = cp.decontaminate(spark, got, str(tmp_path))
+    assert once(got) == sorted(set(want) - {(8, near + " w60"), (None, "so then, my dear pupils, tell me now: " + item), (9, item)}, key=repr)
