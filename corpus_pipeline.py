@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from tessera.llm import decontam, exact_dedup, langid, near_dedup, packing
 from tessera.llm.common import Scratch, fold
 
-MIN_LANGUAGE = 0.05  # least cosine with the nearest language
-
-
 ROW = "__row"  # number of a row of a stage's input
 
 
@@ -30,10 +27,11 @@ def _without(rows: DataFrame, numbers: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without a letter or far from every language go."""
-    model = langid.fit(docs, fold(F.col("doc_id"), 3) != 1)
-    kept = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE))
-    return kept.select(*docs.columns)
+    """Documents in a language that was learned; those without a letter or unlike every language go."""
+    rows = langid.training(docs, fold(F.col("doc_id"), 3) != 1)
+    known = langid.profiles(rows)
+    found = langid.predict(docs, langid.prototypes(known), like=(known, langid.least_likeness(rows, known)))
+    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

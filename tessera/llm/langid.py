@@ -21,6 +21,9 @@ DIM = 512
 LETTERS = 64  # 0: anything that isn't a letter; 1-26: a-z; the rest: buckets of the other letters
 SEED = 20_241
 MAX_TRAIN = 20_000  # documents, by expectation, that the prototypes are learned from
+FEW = 0.001  # share of the training texts and their beginnings that may lie below the bound of likeness before MARGIN
+MARGIN = 0.5  # of that quantile: the bound, so that clean texts unlike the training ones stay
+LONGEST = 4096  # words of the longest beginning; beyond it the whole text is taken
 
 
 def letter_codes() -> np.ndarray:
@@ -68,40 +71,96 @@ def _counts(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "gram": at, "n": total[at]})
 
 
-def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
-    """Languages and their prototypes (unit rows), learned from at most about max_train rows where `train` holds.
-
-    Rows with a null text or language teach nothing. What reaches the driver is bounded by languages x 64**3 counts.
-    """
+def training(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_train: int = MAX_TRAIN) -> DataFrame:
+    """(doc_id, lang, text) of at most about max_train rows where `train` holds; a null text or language teaches nothing."""
     rows = docs.where(train & col(text).isNotNull() & col(lang).isNotNull())
     rows = rows.select(col(doc_id).alias("doc_id"), col(lang).cast("string").alias("lang"), col(text).alias("text"))
     there = rows.count()
-    if there > max_train:
-        rows = rows.where(sampled(F.col("doc_id"), max_train / there, SEED))
+    return rows.where(sampled(F.col("doc_id"), max_train / there, SEED)) if there > max_train else rows
+
+
+def profiles(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Trigram numbers and summed shares of every language; what reaches the driver is bounded by languages x 64**3 counts."""
     sums = rows.select("lang", "text").mapInPandas(_counts, "lang string, gram int, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = sums.toPandas().sort_values(["lang", "gram"])
-    names, vectors = sorted(found["lang"].unique()), letter_vectors()
-    prototypes = np.zeros((len(names), DIM))
+    return {name: (part["gram"].to_numpy(np.int32), part["n"].to_numpy()) for name, part in found.groupby("lang")}
+
+
+def prototypes(known: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[list[str], np.ndarray]:
+    """Languages in order and the vectors of their profiles, as unit rows."""
+    names, vectors = sorted(known), letter_vectors()
+    out = np.zeros((len(names), DIM))
     for k, name in enumerate(names):
-        part = found[found["lang"] == name]
-        grams, n = part["gram"].to_numpy(np.int32), part["n"].to_numpy()
+        grams, n = known[name]
         for i in range(0, len(grams), 20_000):
-            prototypes[k] += n[i : i + 20_000] @ gram_vectors(grams[i : i + 20_000], vectors).astype(np.float64)
-        prototypes[k] /= np.linalg.norm(prototypes[k]) or 1
-    return names, prototypes.astype(np.float32)
+            out[k] += n[i : i + 20_000] @ gram_vectors(grams[i : i + 20_000], vectors).astype(np.float64)
+        out[k] /= np.linalg.norm(out[k]) or 1
+    return names, out.astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
+    """Languages and their prototypes (unit rows), learned from training()."""
+    return prototypes(profiles(training(docs, train, text, lang, doc_id, max_train)))
+
+
+def _unit_profiles(known: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Profiles over all trigrams, one unit row a language."""
+    out = np.zeros((len(known), LETTERS**3), np.float32)
+    for k, name in enumerate(sorted(known)):
+        grams, n = known[name]
+        out[k, grams] = n / (np.linalg.norm(n) or 1)
+    return out
+
+
+def _likeness(grams: np.ndarray, n: np.ndarray, units: np.ndarray) -> float:
+    """Cosine of trigram counts with the nearest profile: what the cosine of vectors tends to as they grow, without noise."""
+    return float((units[:, grams] @ n).max() / np.linalg.norm(n)) if len(grams) and len(units) else 0.0
+
+
+def least_likeness(rows: DataFrame, known: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The likeness that a text needs to count as one of a known language, by the bits of its number of distinct trigrams.
+
+    Training texts and their beginnings of 1, 2, 4, ... words say what texts of that many trigrams reach: the bound is MARGIN
+    of their FEW quantile. Numbers that no beginning has take the bound of the next smaller one, else of the next larger.
+    """
+
+    def beginnings(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes, units = letter_codes(), _unit_profiles(known)
+        for page in pages:
+            out = []
+            for text in page["text"]:
+                size, words = 1, text.split(maxsplit=LONGEST)
+                while True:
+                    whole = size >= len(words)
+                    grams, n = trigrams(text if whole else " ".join(words[:size]), codes)
+                    if len(grams):
+                        out.append((len(grams).bit_length(), _likeness(grams, n, units)))
+                    if whole:
+                        break
+                    size *= 2
+            yield pd.DataFrame(out, columns=["bits", "likeness"])
+
+    found = rows.select("text").mapInPandas(beginnings, "bits int, likeness double").groupBy("bits").agg(F.percentile(F.round("likeness", 5), F.lit(FEW)).alias("least"))
+    own = {r["bits"]: MARGIN * r["least"] for r in found.collect()}
+    out = np.full((LETTERS**3).bit_length() + 1, np.nan)
+    for bits, least in own.items():
+        out[bits] = least
+    return np.maximum(pd.Series(out).ffill().bfill().fillna(0).to_numpy(), 1e-9)
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", like: tuple[dict, np.ndarray] | None = None) -> DataFrame:
     """All columns of docs and lang_pred, score: the cosine with the nearest prototype, 0 where negative.
 
     A null text, one without a letter, or a model without languages gives `und` and 0. Equal cosines: the first name.
-    Texts are read whole. Columns of docs named lang_pred or score are replaced.
+    With like = (profiles, least_likeness), so do texts that are not like any language. Texts are read whole. Columns of
+    docs named lang_pred or score are replaced.
     """
-    names, prototypes = model
+    names, vectors_of = model
 
     @F.pandas_udf("lang_pred string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codes, vectors = letter_codes(), letter_vectors()
+        units = _unit_profiles(like[0]) if like else None
         for batch in batches:
             found, scores = [], []
             for begin in range(0, len(batch), 128):
@@ -109,12 +168,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 known = np.unique(np.concatenate([g for g, _ in own]))
                 bound = gram_vectors(known, vectors).astype(np.float32)
                 for grams, n in own:
-                    if not len(grams) or not names:
+                    if not len(grams) or not names or (like and _likeness(grams, n, units) < like[1][len(grams).bit_length()]):
                         found.append("und")
                         scores.append(0.0)
                         continue
                     bundle = n.astype(np.float32) @ bound[np.searchsorted(known, grams)]
-                    cosines = prototypes @ bundle / max(float(np.linalg.norm(bundle)), 1e-9)
+                    cosines = vectors_of @ bundle / max(float(np.linalg.norm(bundle)), 1e-9)
                     best = int(np.argmax(cosines))
                     found.append(names[best])
                     scores.append(float(min(1.0, max(0.0, cosines[best]))))

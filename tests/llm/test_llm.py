@@ -275,3 +275,24 @@ def test_pipeline_repeated_and_null_ids(spark, tmp_path):
     assert once(got) == sorted(set(want) - {(8, near + " w60")}, key=repr)
     got = cp.decontaminate(spark, got, str(tmp_path))
     assert once(got) == sorted(set(want) - {(8, near + " w60"), (None, "so then, my dear pupils, tell me now: " + item), (9, item)}, key=repr)
+
+
+def test_pipeline_drops_unknown_languages(spark, small):
+    """Unlearned scripts and random letters go; clean documents and their beginnings stay."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    scripts = {"Cyrillic": (0x430, 0x450), "Greek": (0x3B1, 0x3C9), "Arabic": (0x627, 0x64A), "Han": (0x4E00, 0x9000), "Latin": (97, 123)}
+    rows = []
+    for k, (lo, hi) in enumerate(scripts.values()):
+        for i in range(40):
+            n = rng.choice([20, 60, 150, 400])
+            rows.append((10_000 * (k + 1) + i, " ".join("".join(chr(rng.randrange(lo, hi)) for _ in range(rng.randrange(2, 10))) for _ in range(n)), None))
+    clean = [r for r in docs.collect() if r["text"] and len(r["text"].split()) >= 20]
+    starts = [(1_000_000 + r["doc_id"], " ".join(r["text"].split()[:4]), None) for r in clean]
+    both = docs.unionByName(spark.createDataFrame(rows + starts, docs.schema))
+    kept = {r["doc_id"] for r in cp.language_id(spark, both, small).select("doc_id").collect()}
+    assert {k: sum(10_000 * k <= i < 10_000 * (k + 1) for i in kept) for k in range(1, 6)} == dict.fromkeys(range(1, 6), 0)
+    assert sum(r["doc_id"] in kept for r in clean) == len(clean)
+    assert sum(i >= 1_000_000 for i in kept) >= 0.98 * len(starts)
