@@ -2,7 +2,8 @@
 
 A test item may occur in a document with up to k edits, k a fixed share of its length. Cut into k + 1 pieces, at least
 one piece of such an occurrence is untouched. One Aho-Corasick automaton finds all exact piece hits of a document; each
-hit says where the item would lie, and Myers' bit-parallel edit distance verifies that stretch. Items are a bounded
+hit says where the item would lie, and Myers' bit-parallel edit distance verifies that stretch. An item too short for an
+edit is one piece and must stand between word boundaries, so that it isn't found inside other words. Items are a bounded
 query set: they go to the executors in blocks of BLOCK_CHARS, one pass over the documents for each block.
 """
 
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 from .common import col
 
 RATE = 0.06  # edits allowed per character of an item
-LEAST = 24  # characters of the shortest item that is looked for
 BLOCK_CHARS = 8_000_000  # of items in one block
 
 
@@ -32,6 +32,12 @@ def cuts(length: int, rate: float = RATE) -> list[tuple[int, int]]:
     return [(length * i // n, length * (i + 1) // n) for i in range(n)]
 
 
+def stands_alone(text: str, start: int, stop: int) -> bool:
+    """No letter or digit of text[start:stop] goes on beyond its ends."""
+    before = start > 0 and text[start].isalnum() and text[start - 1].isalnum()
+    return not (before or (stop < len(text) and text[stop - 1].isalnum() and text[stop].isalnum()))
+
+
 def _masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -72,18 +78,23 @@ def finder(items: list[tuple[int, str]], rate: float):
 
     def find(text: str) -> list[tuple[int, int, int, int]]:
         stretches: dict[int, list[list[int]]] = {}
+        short: dict[int, tuple[int, int, int]] = {}
         for end, (size, spots) in automaton.iter(text):
             for k, at in spots:
                 n = len(items[k][1])
                 budget = int(n * rate)
                 begin = end + 1 - size - at
+                if n * max(rate, RATE) < 1:
+                    if k not in short and stands_alone(text, begin, begin + n):
+                        short[k] = (0, begin, begin + n)
+                    continue
                 lo, hi = max(0, begin - budget), min(len(text), begin + n + budget)
                 own = stretches.setdefault(k, [])
                 if own and own[-1][0] <= hi and lo <= own[-1][1]:
                     own[-1][0], own[-1][1] = min(own[-1][0], lo), max(own[-1][1], hi)
                 else:
                     own.append([lo, hi])
-        found = []
+        found = [(k, *hit) for k, hit in short.items()]
         for k, own in stretches.items():
             item = items[k][1]
             budget, best = int(len(item) * rate), None
@@ -108,8 +119,8 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, doc_id: str =
     """doc_id, item_id, distance, start, stop: every item that occurs in a document within its error budget, at its best
     place (least distance, then first); start and stop are offsets in the normalised text.
 
-    Null texts hold nothing. Items that are null or shorter than LEAST characters when normalised are not looked for;
-    items with equal texts all match. Repeated documents match one by one; other columns are ignored. Whole texts are
+    Null texts hold nothing. Items that are null or without a character when normalised are not looked for; those too short
+    for an edit (below 17 characters at 6 %) are found exactly, as whole words; items with equal texts all match. Repeated documents match one by one; other columns are ignored. Whole texts are
     read. Without items or documents there are no rows.
     """
     wanted = items.select(col(item_id).alias("item_id"), col(item_text).alias("text")).where(F.col("text").isNotNull())
@@ -134,7 +145,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, doc_id: str =
     result, block, size = None, [], 0
     for row in wanted.toLocalIterator():
         body = normal(row["text"])
-        if len(body) < LEAST:
+        if not body:
             continue
         block.append((row["item_id"], body))
         size += len(body)

@@ -296,3 +296,13 @@ def test_pipeline_drops_unknown_languages(spark, small):
     assert {k: sum(10_000 * k <= i < 10_000 * (k + 1) for i in kept) for k in range(1, 6)} == dict.fromkeys(range(1, 6), 0)
     assert sum(r["doc_id"] in kept for r in clean) == len(clean)
     assert sum(i >= 1_000_000 for i in kept) >= 0.98 * len(starts)
+
+
+def test_short_items(spark):
+    """Items too short for an edit as whole words, those of 17 to 23 characters with an edit."""
+    items = [(1, "2+2=4"), (2, "Paris"), (3, "who wrote hamlet?"), (4, ""), (5, " x "), (6, "is 7 a prime number?"), (7, "の"), (8, "a b"), (9, "?")]
+    docs = ["so 2+2=4.", "12+2=4", "in  PARIS, they", "comparison", "parisian paris", "Who  wrote\nHamlet?", "who wrote hamlat?", "who wrqte hamlat?", "x", "axe", "is 8 a prime number?", "no (の) here", "a b a bc", "ca b", "odd?!", ""]
+    got = decontam.matches(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(0, 1): 0, (2, 2): 0, (4, 2): 0, (5, 3): 0, (6, 3): 1, (8, 5): 0, (10, 6): 1, (11, 7): 0, (12, 8): 0, (14, 9): 0} | {(i, 9): 0 for i in (5, 6, 7, 10)}
+    assert {(r["doc_id"], r["item_id"]): r["distance"] for r in got} == want
+    assert [(r["start"], r["stop"]) for r in got if (r["doc_id"], r["item_id"]) == (4, 2)] == [(9, 14)]
