@@ -50,9 +50,10 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def sampled(key: Column, share: float, seed: int) -> Column:
+def sampled(key: Column, share: float | Column, seed: int) -> Column:
     """True for about this share of the keys, the same ones on every run."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(round(share * 1_000_000))
+    least = F.round(share * 1_000_000) if isinstance(share, Column) else int(round(share * 1_000_000))
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < least
 
 
 # -- vectorised hashing of many texts at once ------------------------------------------------------------------------

@@ -20,7 +20,7 @@ from .common import col, fold, sampled
 DIM = 512
 LETTERS = 64  # 0: anything that isn't a letter; 1-26: a-z; the rest: buckets of the other letters
 SEED = 20_241
-MAX_TRAIN = 20_000  # documents, by expectation, that the prototypes are learned from
+MAX_TRAIN = 20_000  # documents of a language, by expectation, that its prototype is learned from
 FEW = 0.001  # share of the training texts and their beginnings that may lie below the bound of likeness before MARGIN
 MARGIN = 0.5  # of that quantile: the bound, so that clean texts unlike the training ones stay
 LONGEST = 4096  # words of the longest beginning; beyond it the whole text is taken
@@ -72,11 +72,16 @@ def _counts(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def training(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_train: int = MAX_TRAIN) -> DataFrame:
-    """(doc_id, lang, text) of at most about max_train rows where `train` holds; a null text or language teaches nothing."""
+    """(doc_id, lang, text) of at most about max_train rows of each language where `train` holds, so that rare languages are
+    learned from all their rows; a null text or language teaches nothing."""
     rows = docs.where(train & col(text).isNotNull() & col(lang).isNotNull())
     rows = rows.select(col(doc_id).alias("doc_id"), col(lang).cast("string").alias("lang"), col(text).alias("text"))
-    there = rows.count()
-    return rows.where(sampled(F.col("doc_id"), max_train / there, SEED)) if there > max_train else rows
+    there = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    few = {lang: max_train / n for lang, n in there.items() if n > max_train}
+    if not few:
+        return rows
+    shares = F.create_map(*[F.lit(x) for pair in few.items() for x in pair])
+    return rows.where(sampled(F.col("doc_id"), F.coalesce(shares[F.col("lang")], F.lit(1.0)), SEED))
 
 
 def profiles(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:

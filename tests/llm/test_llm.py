@@ -306,3 +306,13 @@ def test_short_items(spark):
     want = {(0, 1): 0, (2, 2): 0, (4, 2): 0, (5, 3): 0, (6, 3): 1, (8, 5): 0, (10, 6): 1, (11, 7): 0, (12, 8): 0, (14, 9): 0} | {(i, 9): 0 for i in (5, 6, 7, 10)}
     assert {(r["doc_id"], r["item_id"]): r["distance"] for r in got} == want
     assert [(r["start"], r["stop"]) for r in got if (r["doc_id"], r["item_id"]) == (4, 2)] == [(9, 14)]
+
+
+def test_rare_language_is_learned(spark):
+    """Each language is sampled by itself: common ones down to the bound, a rare one not at all."""
+    rows = [(i, "the cat and the dog", "en") for i in range(6000)] + [(10_000 + i, "der hund und die katze", "de") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["lang"]: r["count"] for r in langid.training(docs, F.lit(True), max_train=60).groupBy("lang").count().collect()}
+    assert got["de"] == 5 and 30 <= got["en"] <= 100
+    assert langid.fit(docs, F.lit(True), max_train=60)[0] == ["de", "en"]
+    assert langid.training(docs, F.lit(True), max_train=6000).count() == 6005
