@@ -22,11 +22,12 @@ def intervals(entries: DataFrame) -> DataFrame:
     """kind, value, action, since, until (null: still holds) from entries(kind, value, action, dated).
 
     Entries with a null in any column are no entries. Of several at one time, remove goes before allow before block, so
-    the last holds; the others hold for no time. Hosts and domains are compared in lower case.
+    the last holds; the others hold for no time. Hosts, those of prefixes too, and domains are compared in lower case.
     """
     own = entries.select(*[col(c).alias(c) for c in ("kind", "value", "action", "dated")]).dropna()
     own = own.where(F.col("kind").isin(*RANK) & F.col("action").isin("block", "allow", "remove"))
-    own = own.withColumn("value", F.when(F.col("kind") == "prefix", F.rtrim(F.col("value"), F.lit("/"))).otherwise(F.lower("value")))
+    prefix = F.concat(F.lower(F.regexp_extract("value", "^[^/]*", 0)), F.regexp_extract("value", "(?s)^[^/]*(.*)$", 1))
+    own = own.withColumn("value", F.when(F.col("kind") == "prefix", F.rtrim(prefix, F.lit("/"))).otherwise(F.lower("value")))
     order = F.when(F.col("action") == "remove", 0).when(F.col("action") == "allow", 1).otherwise(2)
     until = F.lead("dated").over(W.partitionBy("kind", "value").orderBy("dated", order))
     held = own.withColumn("until", until).where((F.col("action") != "remove") & (F.col("until").isNull() | (F.col("until") > F.col("dated"))))
@@ -37,7 +38,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url:
     """One row per capture: key, host, fetched_at, decision (block, allow or none), kind, value, since.
 
     A null or unreadable URL has no host and matches nothing, as does a null fetch time. Prefix beats host beats domain,
-    then the longer value. Captures with equal keys are told apart; other columns of captures are ignored. The path
+    then the longer value; a prefix without a path holds for its whole host. Captures with equal keys are told apart; other columns of captures are ignored. The path
     prefixes tried are as deep as the deepest listed one, so very long URLs don't multiply.
     """
     held = intervals(entries)
@@ -54,7 +55,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url:
     prefixes = F.when(depth < 1, F.array().cast("array<struct<kind:string,value:string>>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: entry("prefix", F.concat("host", F.array_join(F.slice(parts, F.lit(1), i + 1), "/"))))
     )
-    keys = F.concat(F.array(entry("host", F.col("host"))), domains, prefixes)
+    keys = F.concat(F.array(entry("host", F.col("host")), entry("prefix", F.col("host"))), domains, prefixes)
     tried = base.select("rid", "key", "fetched_at", "host", F.explode(F.array_distinct(keys)).alias("k")).select("rid", "key", "fetched_at", "host", "k.kind", "k.value")
     met = tried.alias("t").join(held.alias("h"), (F.col("t.kind") == F.col("h.kind")) & (F.col("t.value") == F.col("h.value")) & (F.col("t.fetched_at") >= F.col("h.since")) & (F.col("h.until").isNull() | (F.col("t.fetched_at") < F.col("h.until"))), "left")
     rank = F.create_map(*[x for k, v in RANK.items() for x in (F.lit(k), F.lit(v))])[F.col("h.kind")]

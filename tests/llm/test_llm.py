@@ -316,3 +316,41 @@ def test_rare_language_is_learned(spark):
     assert got["de"] == 5 and 30 <= got["en"] <= 100
     assert langid.fit(docs, F.lit(True), max_train=60)[0] == ["de", "en"]
     assert langid.training(docs, F.lit(True), max_train=6000).count() == 6005
+
+
+def test_url_prefixes_of_hosts(spark):
+    """Prefixes without a path, and with an upper-case host; the path keeps its case."""
+    entries = spark.createDataFrame([("prefix", "x.org/", "block"), ("prefix", "Y.Org/Aa/", "block"), ("prefix", "x.org/ok", "allow"), ("host", "x.org", "allow")], "kind string, value string, action string").withColumn("dated", F.lit("2024-01-01").cast("date"))
+    urls = ["http://x.org", "http://X.org/", "http://x.org/b?c", "http://x.org/ok/d", "http://a.x.org/", "http://y.org/Aa/1", "http://y.org/aa/1", "http://y.org", "junk"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("fetched_at", F.lit("2024-02-01").cast("date"))
+    got = {r["page_id"]: r["decision"] for r in url_filter.evaluate(pages, entries).collect()}
+    assert [got[i] for i in range(9)] == ["block", "block", "block", "allow", "none", "block", "none", "none", "none"]
+
+
+def test_url_filter_with_the_hosts_at_hand(spark, small):
+    """A dated list of the hosts and paths of the table, so that every rule meets pages, against a plain evaluation."""
+    from datetime import date, timedelta
+    from urllib.parse import urlsplit
+
+    pages = [(r["page_id"], r["url"], date(2024, 1, 1) + timedelta(r["page_id"] % 366)) for r in spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url").collect() if r["url"]]
+    entries = []
+    for k, (_, url, _) in enumerate(pages):
+        host, path = (urlsplit(url).hostname or "").lower(), urlsplit(url).path
+        value = [("domain", host.partition(".")[2]), ("host", host), ("prefix", host + "/" + path.strip("/").split("/")[0]), ("prefix", host)][k % 4]
+        entries += [(*value, action, date(2024, 1, 1) + timedelta((37 * k + 90 * j) % 366)) for j, action in enumerate(("block", "allow", "remove"))]
+    order = {"remove": 0, "allow": 1, "block": 2}
+    groups = {}
+    for kind, value, action, dated in entries:
+        groups.setdefault((kind, value.rstrip("/")), []).append((dated, order[action], action))
+    want = {}
+    for key, url, day in pages:
+        host, path = (urlsplit(url).hostname or "").lower(), urlsplit(url).path
+        best = (0, 0, "none")
+        for (kind, value), dates in groups.items():
+            fits = host == value if kind == "host" else host == value or host.endswith("." + value) if kind == "domain" else host + path == value or (host + path).startswith(value + "/")
+            held = max([x for x in dates if x[0] <= day], default=None)
+            if fits and held and held[2] != "remove":
+                best = max(best, ({"prefix": 3, "host": 2, "domain": 1}[kind], len(value), held[2]))
+        want[key] = best[2]
+    got = url_filter.evaluate(spark.createDataFrame(pages, "page_id long, url string, fetched_at date"), spark.createDataFrame(entries, "kind string, value string, action string, dated date"))
+    assert {r["page_id"]: r["decision"] for r in got.collect()} == want and {"none", "allow", "block"} == set(want.values())
