@@ -41,6 +41,7 @@ STATEMENTS = {
     "search_all_terms": "SELECT doc_id, source FROM documents WHERE contains(lower(concat(text, ' ', source)), 'the') AND contains(lower(concat(text, ' ', source)), 'src1') AND lang = 'en' ORDER BY doc_id LIMIT 60",
     "blocklist_anti": "SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) b ON c_nationkey = b.s_nationkey",
     "pin_top": "SELECT s_suppkey, row_number() OVER (ORDER BY CASE s_suppkey WHEN 7 THEN 0 WHEN 3 THEN 1 ELSE 2 END, s_acctbal DESC, s_suppkey) AS place FROM supplier ORDER BY place LIMIT 20",
+    "pin_top_all": "SELECT s_suppkey, row_number() OVER (ORDER BY CASE s_suppkey WHEN 7 THEN 0 WHEN 3 THEN 1 ELSE 2 END, s_acctbal DESC, s_suppkey) AS place FROM supplier ORDER BY place",
     # joins
     "join_inner": "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey",
     "join_inner_sql": "SELECT s_name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
@@ -97,6 +98,7 @@ STATEMENTS = {
     "topk_axes_union": "SELECT DISTINCT l_orderkey, l_linenumber FROM (SELECT * FROM (SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 40) UNION ALL SELECT * FROM (SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_quantity DESC, l_orderkey, l_linenumber LIMIT 40) UNION ALL SELECT * FROM (SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_discount DESC, l_orderkey, l_linenumber LIMIT 40))",
     "best_per_key_topk": "WITH b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rn FROM lineitem), t AS (SELECT l_orderkey, l_linenumber, l_extendedprice FROM b WHERE rn = 1 ORDER BY l_extendedprice DESC, l_orderkey LIMIT 50) SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey) + 999 AS BIGINT) AS cand_id FROM t",
     "sort_mixed": "SELECT p_partkey, p_size, p_retailprice FROM part ORDER BY p_size ASC, p_retailprice DESC, p_partkey LIMIT 100",
+    "sort_mixed_all": "SELECT p_partkey, p_size, p_retailprice FROM part ORDER BY p_size ASC, p_retailprice DESC, p_partkey",
     "topk_plus_forced": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 2 OR o_orderpriority = '1-URGENT'",
     "samples_per_key": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 8",
     "hash_sample": "SELECT doc_id, source FROM documents ORDER BY md5(CAST(doc_id AS STRING)), doc_id LIMIT 100",

@@ -91,6 +91,12 @@ def tokens_clean(spark, sf_dir):
     return words(spark, sf_dir).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(200)
 
 
+@query(f"SELECT doc_id, w FROM ({_CLEAN})")
+def tokens_clean_docs(spark, sf_dir):
+    """The cleaned tokens of every document, one row each."""
+    return words(spark, sf_dir).select("doc_id", "w")
+
+
 @query("SELECT page_id, array_to_string(list_filter(string_split(replace(regexp_extract(url, '//([^/?#]*)', 1), '-', '.'), '.'), lambda p: length(p) > 2 AND p NOT IN ('www', 'com', 'org', 'net')), ' ') AS phrase FROM pages")
 def phrases_clean(spark, sf_dir):
     parts = F.filter(F.split(F.replace(F.regexp_extract("url", "//([^/?#]*)", 1), F.lit("-"), F.lit(".")), "[.]"), lambda p: (F.length(p) > 2) & ~p.isin("www", "com", "org", "net"))
