@@ -1,4 +1,4 @@
-"""Scoring, report and formatting queries: keyword categories, severities, funnels, name and place joins."""
+"""Scoring, report and formatting queries: keyword categories, severities, the first tier of the funnel, name and place joins."""
 
 from __future__ import annotations
 
