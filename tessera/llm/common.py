@@ -2,41 +2,81 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: list[str] = []
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20  # rows and bytes that a Python worker gets at once while a table is saved
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one temporary folder where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master, where all is one machine, may leave
+    it unset and gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="tessera-"))
     return _FALLBACK[0]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of at most so many rows and bytes for what is run inside, so that Python workers stay small."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v.removesuffix("b") if v.endswith("b") else v)
+
+
 class Scratch:
-    """Tables written to the shared folder, so that later steps survive the loss of any executor."""
+    """Tables written to the shared folder, so that later steps survive the loss of any executor.
+
+    The rows that an operator returns read some of them, so they stay until close(): call it, or use the object in a
+    `with` statement, when these rows have been written or collected.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.base}/{name}")
+
+    def close(self) -> None:
+        self._delete(self.base)
+
+    def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -76,21 +116,33 @@ def salt(k: int, by: int = 0x9E3779B97F4A7C15) -> np.uint64:
     return np.uint64(k * by & 0xFFFFFFFFFFFFFFFF)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0x100000001B3) -> np.ndarray:
-    """A 64-bit hash of each buf[start:end], by differences of a polynomial prefix sum and a finaliser over the length."""
-    n = len(buf)
+LONG = 64  # bytes; longer spans are hashed one by one
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each buf[start:end]: its blocks of eight bytes pass through the finaliser one after another.
+
+    Spans of up to eight bytes and one length never collide. Spans of more than LONG bytes take BLAKE2b, so that no
+    pattern of a long text makes collisions likely. Different seeds give independent hashes.
+    """
     if not len(starts):
         return np.empty(0, np.uint64)
-    powers = np.full(n + 1, base, np.uint64)
-    powers[0] = 1
-    np.cumprod(powers, out=powers)
-    inverse = np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    np.cumprod(inverse, out=inverse)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers[:n], out=prefix[1:])
-    raw = (prefix[ends] - prefix[starts]) * inverse[starts]
-    return mix(raw ^ ((ends - starts).astype(np.uint64) * _MULT))
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64) * _MULT + np.uint64(seed * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
+    at, some = 0, np.flatnonzero(size <= LONG)
+    while len(some):
+        left = size[some] - at
+        some, left = some[left > 0], left[left > 0]
+        block = words[starts[some] + at] & _MASKS[np.minimum(left, 8)]
+        out[some] = mix((out[some] ^ block) * _MULT + np.uint64(at + 1))
+        at += 8
+    for k in np.flatnonzero(size > LONG):
+        own = hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+        out[k] = int.from_bytes(own.digest(), "little")
+    return out
 
 
 def ascii_space() -> np.ndarray:

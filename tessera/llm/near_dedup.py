@@ -33,6 +33,7 @@ M = BANDS * ROWS
 THRESHOLD = 0.8
 CENTRAL = 8  # texts of a bucket that all its members are compared with, where it holds several classes
 GROUPS = 64  # of shingles, whose counts bound the overlap of two texts
+WIDTH = 6  # bytes of a shingle's number
 PIECE = 1 << 19  # bytes worked on at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,9 +100,24 @@ def signatures(h: np.ndarray, owner: np.ndarray, weight: np.ndarray, texts: int,
 
 
 def layers(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """A multiset as a sorted set of 32-bit numbers: the k-th copy of a shingle has a number of its own."""
+    """A multiset as a sorted set of 48-bit numbers: the k-th copy of a shingle has a number of its own.
+
+    Two texts of a and b shingles count one too many with a chance of a * b / 2**48 (for 20,000 words each about one in a million).
+    """
     rank = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
-    return np.unique((mix(np.repeat(h, weight) + rank.astype(np.uint64) * _STEP) >> np.uint64(32)).astype(np.uint32))
+    return np.unique(mix(np.repeat(h, weight) + rank.astype(np.uint64) * _STEP) >> np.uint64(64 - 8 * WIDTH))
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of WIDTH bytes, byte plane by byte plane: those of the high bytes hardly change along a sorted set."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(WIDTH, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :WIDTH] = planes.T
+    return out.view("<u8").ravel()
 
 
 def profile(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, row: str | None = None) -> DataFrame:
@@ -127,7 +143,7 @@ def profile(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, bands:
                     some = cut[i] < cut[i + 1]
                     bandsof.append(hashed[i].view(np.int64).tolist() if some else [])
                     sets.append(layers(h[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]]))
-            yield pd.DataFrame({"key": keys, "bands": bandsof, "size": [len(s) for s in sets], "layers": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"key": keys, "bands": bandsof, "size": [len(s) for s in sets], "layers": [packed(s) for s in sets]})
 
     out = own.select("rid", "doc_id", of("text").alias("p"))
     return out.select("rid", "doc_id", "p.key", "p.bands", "p.size", "p.layers")
@@ -135,8 +151,7 @@ def profile(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, bands:
 
 @F.pandas_udf(IntegerType())
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    one = lambda x, y: len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True))
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+    return pd.Series([len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def classes(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -173,8 +188,8 @@ def trees(parent: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def _grouped(layers: pd.Series, alone: pd.Series) -> pd.Series:
-    count = lambda x: np.bincount(x % GROUPS, minlength=GROUPS)
-    of = lambda x, y: count(np.frombuffer(x, np.uint32)) - (0 if y is None else count(np.asarray(y, np.int32).view(np.uint32)))
+    count = lambda x: np.bincount((x % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    of = lambda x, y: count(unpacked(x)) - (0 if y is None else count(np.asarray(y, np.int64).view(np.uint64)))
     return pd.Series([of(x, y).astype(np.int32) for x, y in zip(layers, alone, strict=True)])
 
 
@@ -184,11 +199,11 @@ def _shared_sizes(sets: DataFrame, among: DataFrame) -> DataFrame:
 
     def numbers(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
-            own = [np.frombuffer(x, np.uint32) for x in page["layers"]]
-            yield pd.DataFrame({"rid": np.repeat(page["rid"].to_numpy(), [len(x) for x in own]), "x": np.concatenate([*own, np.empty(0, np.uint32)]).view(np.int32)})
+            own = [unpacked(x) for x in page["layers"]]
+            yield pd.DataFrame({"rid": np.repeat(page["rid"].to_numpy(), [len(x) for x in own]), "x": np.concatenate([*own, np.empty(0, np.uint64)]).view(np.int64)})
 
     own = sets.join(among, "rid").select("rid", "layers")
-    alone = own.mapInPandas(numbers, "rid long, x int").groupBy("x").agg(F.min("rid").alias("rid"), F.count("*").alias("n")).where("n = 1")
+    alone = own.mapInPandas(numbers, "rid long, x long").groupBy("x").agg(F.min("rid").alias("rid"), F.count("*").alias("n")).where("n = 1")
     alone = alone.groupBy("rid").agg(F.collect_list("x").alias("alone"))
     out = own.join(alone, "rid", "left").select("rid", _grouped("layers", "alone").alias("groups"))
     return out.select("rid", "groups", F.aggregate("groups", F.lit(0), lambda n, x: n + x).alias("shared"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontam, exact_dedup, langid, near_dedup, packing, quality, queries, substring_dedup, toxicity, url_filter
+from tessera.llm import chat, common, decontam, exact_dedup, langid, near_dedup, packing, quality, queries, substring_dedup, toxicity, url_filter
 from tests.oracle import compare, connect
 
 
@@ -354,3 +355,50 @@ def test_url_filter_with_the_hosts_at_hand(spark, small):
         want[key] = best[2]
     got = url_filter.evaluate(spark.createDataFrame(pages, "page_id long, url string, fetched_at date"), spark.createDataFrame(entries, "kind string, value string, action string, dated date"))
     assert {r["page_id"]: r["decision"] for r in got.collect()} == want and {"none", "allow", "block"} == set(want.values())
+
+
+def thue_morse(n):
+    """2**n letters; modulo a power of two, polynomial hashes of the word and of its complement agree."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_span_hashes_tell_spans_apart():
+    words = [b"", b"a", b"a\0", b"ab" * 4, b"ab" * 4 + b"a", b"x" * 64, b"x" * 65, *(thue_morse(n).translate(t).encode() for n in (3, 5, 6, 10, 11) for t in ({}, str.maketrans("ab", "ba")))]
+    buf = np.frombuffer(b" ".join(words), np.uint8)
+    starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+    ends = starts + np.array([len(w) for w in words])
+    one, two = common.span_hashes(buf, starts, ends), common.span_hashes(buf, starts, ends, 1)
+    assert len(set(one.tolist())) == len(set(two.tolist())) == len(words) and not set(one.tolist()) & set(two.tolist())
+    again = common.span_hashes(np.concatenate([np.frombuffer(b"zz", np.uint8), buf]), starts + 2, ends + 2)
+    assert (again == one).all()
+
+
+def test_shingle_numbers_round_trip():
+    numbers = np.unique(np.random.default_rng(2).integers(0, 1 << 48, 500, np.uint64))
+    assert (near_dedup.unpacked(near_dedup.packed(numbers)) == numbers).all() and near_dedup.unpacked(b"").size == 0
+
+
+def test_near_texts_of_colliding_words(spark):
+    """Words that polynomial hashes confuse are different words."""
+    word, tail = thue_morse(11), " ".join(f"w{i}" for i in range(4))
+    rows = [(1, f"{word} {tail}"), (2, f"{word.translate(str.maketrans('ab', 'ba'))} {tail}")]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in got} == {1, 2}
+
+
+def test_shared_folder(spark, monkeypatch):
+    """Only a local master may do without spark.checkpoint.dir."""
+
+    class Other:
+        conf = {"spark.master": "spark://host:7077"}
+
+    assert common.shared_dir(spark)
+    with pytest.raises(ValueError):
+        common.shared_dir(Other)
+    with common.Scratch(spark) as scratch:
+        assert scratch.save(spark.range(3), "a").count() == 3
+        base = scratch.base
+    assert not os.path.exists(base)
