@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 _FALLBACK: list[str] = []
 BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20  # rows and bytes that a Python worker gets at once while a table is saved
+FILE_ROWS = 500_000  # narrow rows of a file, where their number is known before
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +42,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v.removesuffix("b") if v.endswith("b") else v)
+            spark.conf.set(k, v)
 
 
 class Scratch:
@@ -53,7 +54,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+        self.base, self._tables = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", {}
 
     def __enter__(self) -> Scratch:
         return self
@@ -61,17 +62,33 @@ class Scratch:
     def __exit__(self, *_) -> None:
         self.close()
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write a table and read it; `rows`, if known, says how many files at most are worth while: one per FILE_ROWS."""
         path = f"{self.base}/{name}"
+        if rows is not None:
+            df = df.coalesce(1 + rows // FILE_ROWS)
         with small_batches(self.spark):
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def buckets(self, df: DataFrame, name: str, by: str, n: int) -> DataFrame:
+        """Like save(), in n buckets sorted by a column, so that joins on it move only the other side. Spark keeps bucketed
+        tables in its catalog; drop() and close() take it out again."""
+        table = f"{self.base.rpartition('/')[2].replace('-', '_')}_{name}"
+        with small_batches(self.spark):
+            writer = df.write.bucketBy(n, by).sortBy(by).option("path", f"{self.base}/{name}").option("compression", "zstd")
+            writer.saveAsTable(table)
+        self._tables[name] = table
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self._tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS `{self._tables.pop(name)}`")
             self._delete(f"{self.base}/{name}")
 
     def close(self) -> None:
+        self.drop(*list(self._tables))
         self._delete(self.base)
 
     def _delete(self, path: str) -> None:

@@ -19,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op9_chat_format": chat.OP9_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }

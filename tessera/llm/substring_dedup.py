@@ -1,13 +1,15 @@
 """Substring dedup of repeated windows of words, with a count-min sketch before the exact pass.
 
 1. Documents are gathered into chunks of some megabytes, written once as a table bucketed by chunk; from then on no text
-   is shuffled.
+   is shuffled but that of repeated windows.
 2. Every chunk makes its part of a count-min sketch: for each of DEPTH rows, the cells its windows fall into, sorted and
    cut into shards of cells. Shards of one row are merged in one place; the merged counts can only be too high. Every
    chunk gets back one bit for each of its cells: does the merged count reach two?
-3. Windows whose cells all reach two are exactly grouped by a 96-bit fingerprint of their 20 words; a window that occurs
-   once but shared cells drops out here, and one that occurs twice can't have been missed. Of each chunk's equal windows
-   only the first takes part, so a passage in thousands of documents is reduced before it is moved.
+3. Windows whose cells all reach two are exactly grouped. Neighbouring windows travel as one run of words, dealt by their
+   least hash of GRAM words: equal windows have the same, and most neighbours too. Where the runs of one hash meet, windows
+   with equal hashes are compared word by word. A window that occurs once but shared cells drops out here, and one that
+   occurs twice can't have been missed. Of each chunk's equal windows only the first takes part, so a passage in thousands
+   of documents is reduced before it is moved.
 4. Every window but the first of its kind is removed, and the words it covers with it.
 
 The sketch's width follows the number of windows (WIDTH cells a window), while a shard's size is fixed: no part of it has
@@ -25,14 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_space, col, mix, runs, salt, span_hashes
+from .common import Scratch, ascii_space, col, mix, runs, salt, small_batches, span_hashes
 
 WINDOW = 20
 DEPTH = 2
 WIDTH = 16  # cells of each row a window
 SHARD_BITS = 24  # cells of a shard, as a power of two
-GROUP = 1 << 22  # windows, at most, that one exact group of fingerprints is planned for
-CHUNK = 12 << 20  # bytes of text in a chunk
+GRAM = 4  # words whose least hash deals a window
+GROUP = 1 << 20  # windows, at most, that one exact group is planned for
+CHUNK = 6 << 20  # bytes of text in a chunk
+BUCKET = 96 << 20  # bytes of text in a bucket of chunks
+MOST_BUCKETS = 100_000  # that Spark allows
 
 
 def words_of(blob: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,24 +55,55 @@ def window_starts(owner: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(owner[window - 1 :] == owner[: len(owner) - window + 1])
 
 
-def window_hashes(blob: bytes, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes (64 and 32 bits) of each window."""
-    buf, starts, ends, owner = words_of(blob, sizes)
-    at = window_starts(owner, window)
-    if not len(at):
-        return np.empty(0, np.uint64), np.empty(0, np.uint32)
-    word = np.empty(len(starts), np.uint64)
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    out = np.empty(len(starts), np.uint64)
     for a in range(0, len(starts), 100_000):  # in parts that stay in the cache
         b = min(len(starts), a + 100_000)
         lo, hi = starts[a], ends[b - 1]
-        word[a:b] = span_hashes(buf[lo:hi], starts[a:b] - lo, ends[a:b] - lo)
-    other = mix(word + salt(77))
+        out[a:b] = span_hashes(buf[lo:hi], starts[a:b] - lo, ends[a:b] - lo)
+    return out
+
+
+def window_hashes(word: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """A hash of each window, from those of its words."""
+    if not len(at):
+        return np.empty(0, np.uint64)
     n = len(word) - window + 1
-    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    out = np.zeros(n, np.uint64)
     for k in range(window):
-        one = one * np.uint64(0xA24BAED4963EE407) + word[k : k + n]
-        two = two * np.uint64(0x9FB21C651E98DF25) + other[k : k + n]
-    return mix(one[at]), (mix(two[at]) >> np.uint64(32)).astype(np.uint32)
+        out = out * np.uint64(0xA24BAED4963EE407) + word[k : k + n]
+    return mix(out[at])
+
+
+def deal_keys(word: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The least hash of GRAM (or, in shorter windows, all) neighbouring words of each window."""
+    gram = min(GRAM, window)
+    least = np.zeros(len(word) - gram + 1, np.uint64)
+    for k in range(gram):
+        least = mix(least + word[k : k + len(least)])
+    width, wanted = 1, window - gram + 1
+    while width < wanted:  # least of `width` neighbours, then of twice as many
+        step = min(width, wanted - width)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        width += step
+    return least[at]
+
+
+def first_equal(blob: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each of some spans of blob, the number of the first span of the same bytes. Hashes only say which to compare."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    order = np.argsort(hashes, kind="stable")
+    new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    again = np.flatnonzero(out != np.arange(len(out)))
+    first = out[again]
+    spans = zip(starts[again].tolist(), ends[again].tolist(), starts[first].tolist(), ends[first].tolist(), strict=True)
+    if all(blob[a:b] == blob[c:d] for a, b, c, d in spans):
+        return out
+    names: dict[bytes, int] = {}  # different bytes share a hash
+    return np.array([names.setdefault(blob[a:b], i) for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))], np.int64)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -96,16 +132,17 @@ def _chunked(size: int):
         def flush() -> pd.DataFrame:
             rows.sort(key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
             blob = b"\n".join([*(r[2] for r in rows), b""])
-            return pd.DataFrame({"chunk": [(part << 32) + k], "ids": [[r[0] for r in rows]], "sizes": [[len(r[2]) + 1 for r in rows]], "blob": [blob], "words": [len(blob.split())]})
+            return pd.DataFrame({"chunk": [(part << 32) + k], "ids": [[r[0] for r in rows]], "sizes": [[len(r[2]) + 1 for r in rows]], "blob": [blob], "words": [sum(r[3] for r in rows)]})
 
         n = 0
         for page in pages:
             for key, null, text in zip(page["doc_id"], page["null"], page["text"], strict=True):
-                body = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+                words = text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
+                body = b" ".join(words)
                 if rows and total + len(body) > size:
                     yield flush()
                     rows, total, k = [], 0, k + 1
-                rows.append((None if null else int(key), n, body))
+                rows.append((None if null else int(key), n, body, len(words)))
                 n, total = n + 1, total + len(body)
         if rows:
             yield flush()
@@ -113,31 +150,31 @@ def _chunked(size: int):
     return gather
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, texts: bool = True, width: int = WIDTH, shard_bits: int = SHARD_BITS, chunk_bytes: int = CHUNK) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, texts: bool = True, width: int = WIDTH, shard_bits: int = SHARD_BITS, chunk_bytes: int = CHUNK, group: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. A word goes if a window of `window` words covers it whose words also start
-    earlier: in a smaller doc_id, or the same document before. Null texts have no words; integer ids are compared, nulls
-    come last, and rows that share an id follow each other in the order of the chunks. No documents give no rows.
+    earlier: in a smaller doc_id, or the same document before. Null texts have no words; ids are compared as long numbers,
+    nulls and ids that are no such number come last (and are null in the result), and rows that share an id follow each
+    other in the order of the chunks. No documents give no rows; other columns are ignored. The result is a table of
+    `scratch`, which the caller may close when done.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
-    own = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(0)).alias("doc_id"), col(doc_id).isNull().alias("null"), col(text).alias("text"))
+    scratch = scratch or Scratch(spark)
+    key = col(doc_id).try_cast("long")
+    own = docs.select(F.coalesce(key, F.lit(0)).alias("doc_id"), key.isNull().alias("null"), col(text).alias("text"))
+    size = docs.agg(F.sum(F.octet_length(col(text)))).first()[0] or 0
     shape = "chunk long, ids array<long>, sizes array<int>, blob binary, words long"
-    table = "tessera_chunks_" + scratch.base.rpartition("-")[2]
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    gathered = own.mapInPandas(_chunked(chunk_bytes), shape)
-    gathered.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", f"{scratch.base}/chunks").option("compression", "zstd").saveAsTable(table)
-    chunks = spark.table(table)
+    chunks = scratch.buckets(own.mapInPandas(_chunked(chunk_bytes), shape), "chunks", "chunk", min(MOST_BUCKETS, 1 + size // BUCKET))
     total = chunks.agg(F.sum("words")).first()[0] or 0
     bits = max(shard_bits, int(max(1, total * width) - 1).bit_length())
     low = np.uint64((1 << shard_bits) - 1)
-    group_bits = max(0, (int(total) // GROUP).bit_length())
 
     def sketch(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
             for chunk, sizes, blob in zip(page["chunk"], page["sizes"], page["blob"], strict=True):
-                hashes, _ = window_hashes(blob, np.asarray(sizes), window)
+                buf, starts, ends, owner = words_of(blob, np.asarray(sizes))
+                hashes = window_hashes(word_hashes(buf, starts, ends), window_starts(owner, window), window)
                 for row in range(DEPTH):
                     cells, n = np.unique(cells_of(hashes, row, bits), return_counts=True)
                     shard = (cells >> np.uint64(shard_bits)).astype(np.int64)
@@ -159,9 +196,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     answers = merged.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("row", "shard", "bits"))).alias("answers"))
 
     def suspects(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Runs of neighbouring windows with one key, and (without a key) the windows that repeat earlier ones of the chunk."""
         for page in pages:
             for chunk, ids, sizes, blob, answers in zip(page["chunk"], page["ids"], page["sizes"], page["blob"], page["answers"], strict=True):
-                hashes, more = window_hashes(blob, np.asarray(sizes), window)
+                buf, starts, ends, owner = words_of(blob, np.asarray(sizes))
+                word, at = word_hashes(buf, starts, ends), window_starts(owner, window)
+                hashes = window_hashes(word, at, window)
                 if not len(hashes):
                     continue
                 told = {(a["row"], a["shard"]): a["bits"] for a in answers}
@@ -171,40 +211,42 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     shard = (cells >> np.uint64(shard_bits)).astype(np.int64)
                     flags = [np.unpackbits(np.frombuffer(told[row, int(shard[a])], np.uint8), count=b - a) for a, b in stretches(shard)]
                     hot &= np.concatenate(flags)[back].astype(bool)
-                at = np.flatnonzero(hot)
-                h1, h2 = hashes[at], more[at]
-                order = np.lexsort((at, h2, h1))
-                h1, h2, at = h1[order], h2[order], at[order]
-                first = np.ones(len(at), bool)
-                first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-                out = [(chunk, -1, b"", b"", b"", planes(np.sort(at[~first])))]
-                owner = words_of(blob, np.asarray(sizes))[3]
-                doc = owner[window_starts(owner, window)]
-                keys = np.array([np.iinfo(np.int64).max if x is None or x != x else int(x) for x in ids], np.int64)
-                h1, h2, at = h1[first], h2[first], at[first]
-                group = (h1 >> np.uint64(1) >> np.uint64(63 - group_bits)).astype(np.int64)
-                for a, b in stretches(group):
-                    out.append((chunk, int(group[a]), h1[a:b].tobytes(), h2[a:b].tobytes(), keys[doc[at[a:b]]].tobytes(), at[a:b].astype("<u4").tobytes()))
-                yield pd.DataFrame(out, columns=["chunk", "part", "h1", "h2", "doc", "at"])
+                some = np.flatnonzero(hot)
+                if not len(some):
+                    continue
+                begin, end = starts[at[some]], ends[at[some] + window - 1]
+                first = first_equal(blob, begin, end, hashes[some]) == np.arange(len(some))
+                mine = np.flatnonzero(first)
+                keys, doc, place = deal_keys(word, at[some[mine]], window).view(np.int64), owner[at[some[mine]]], some[mine]
+                cut = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 1) | (np.diff(keys) != 0) | (np.diff(doc) != 0)]))
+                stop = np.concatenate([cut[1:], [len(mine)]]) - 1
+                bodies = [blob[a:b] for a, b in zip(begin[mine[cut]].tolist(), end[mine[stop]].tolist(), strict=True)]
+                names = np.array([np.iinfo(np.int64).max if x is None or x != x else int(x) for x in ids], np.int64)
+                yield pd.DataFrame({"chunk": chunk, "key": keys[cut], "doc": names[doc[cut]], "at": place[cut], "n": stop - cut + 1, "body": bodies, "lost": None})
+                yield pd.DataFrame({"chunk": [chunk], "key": [None], "doc": [None], "at": [None], "n": [0], "body": [None], "lost": [planes(some[~first])]})
 
     def losers(page: pd.DataFrame) -> pd.DataFrame:
         """Numbers of the windows that aren't the first of their kind, by chunk."""
-        joined = lambda name, kind: np.frombuffer(b"".join(page[name]), kind)
-        h1, h2, doc, at = joined("h1", np.uint64), joined("h2", np.uint32), joined("doc", np.int64), joined("at", "<u4")
-        source = np.repeat(np.arange(len(page)), [len(x) // 8 for x in page["h1"]])
-        chunk = page["chunk"].to_numpy(np.int64)[source]
-        order = np.lexsort((chunk, doc, h2, h1))
-        same = np.zeros(len(order), bool)
-        same[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-        lost = order[same]
-        lost = lost[np.argsort(source[lost], kind="stable")]
-        cut = np.searchsorted(source[lost], np.arange(len(page) + 1))
-        return pd.DataFrame({"chunk": page["chunk"], "at": [planes(np.sort(at[lost[a:b]])) for a, b in zip(cut, cut[1:], strict=False)]})
-
-    found = chunks.join(answers, "chunk").select("chunk", "ids", "sizes", "blob", "answers").mapInPandas(suspects, "chunk long, part int, h1 binary, h2 binary, doc binary, at binary")
-    found = scratch.save(found, "suspects")
-    lost = found.where("part >= 0").groupBy("part").applyInPandas(losers, "chunk long, at binary").unionByName(found.where("part < 0").select("chunk", "at"))
-    gone = lost.groupBy("chunk").agg(F.collect_list("at").alias("gone"))
+        page = page.sort_values(["doc", "chunk", "at"], kind="stable")
+        blob = b"\n".join([*page["body"], b""])
+        sizes = np.array([len(x) + 1 for x in page["body"]], np.int64)
+        buf, starts, ends, owner = words_of(blob, sizes)
+        at = window_starts(owner, window)
+        hashes = window_hashes(word_hashes(buf, starts, ends), at, window)
+        lost = np.flatnonzero(first_equal(blob, starts[at], ends[at + window - 1], hashes) != np.arange(len(at)))
+        run, before = owner[at], np.concatenate([[0], np.cumsum(page["n"].to_numpy(np.int64))])
+        chunk, place = page["chunk"].to_numpy(np.int64)[run[lost]], page["at"].to_numpy(np.int64)[run[lost]] + lost - before[run[lost]]
+        order = np.lexsort((place, chunk))
+        chunk, place = chunk[order], place[order]
+        return pd.DataFrame([(int(chunk[a]), planes(place[a:b])) for a, b in stretches(chunk)], columns=["chunk", "at"])
+
+    with small_batches(spark, 64):
+        found = chunks.join(answers, "chunk").select("chunk", "ids", "sizes", "blob", "answers").mapInPandas(suspects, "chunk long, key long, doc long, at long, n long, body binary, lost binary")
+        found = scratch.save(found, "suspects")
+        groups = 1 + (found.agg(F.sum("n")).first()[0] or 0) // group
+        dealt = found.where("key is not null").withColumn("part", F.pmod("key", F.lit(groups)))
+        lost = dealt.groupBy("part").applyInPandas(losers, "chunk long, at binary").unionByName(found.where("key is null").select("chunk", F.col("lost").alias("at")))
+        gone = lost.groupBy("chunk").agg(F.collect_list("at").alias("gone"))
 
     def cut_out(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
@@ -222,10 +264,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 first = np.searchsorted(owner, np.arange(n + 1))
                 kept = []
                 for i in range(n):
-                    body = blob[begin[i] : begin[i + 1]].split()
+                    body = blob[begin[i] : begin[i + 1] - 1]
                     if removed[i]:
-                        body = [w for w, x in zip(body, out[first[i] : first[i + 1]].tolist(), strict=True) if not x]
-                    kept.append(b" ".join(body))
+                        body = b" ".join(w for w, x in zip(body.split(), out[first[i] : first[i + 1]].tolist(), strict=True) if not x)
+                    kept.append(body)
                 frame = pd.DataFrame({"doc_id": pd.array([None if x is None or x != x else int(x) for x in ids], "Int64"), "n_words": words, "n_removed": removed, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]})
                 if texts:
                     frame["kept_text"] = [x.decode("utf-8", "surrogatepass") for x in kept]
@@ -233,8 +275,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     whole = chunks.join(gone, "chunk", "left").select("ids", "sizes", "blob", "gone")
     out = whole.mapInPandas(cut_out, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
+    out = scratch.save(out, "kept")
+    scratch.drop("chunks", "suspects")
     return out
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), texts=False)
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+s AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 19 <= len(ws) THEN array_to_string(ws[i:i + 19], ' ') END AS span FROM w),
+l AS (SELECT doc_id, i, word, span IS NOT NULL AND row_number() OVER (PARTITION BY span ORDER BY doc_id, i) > 1 AS lost FROM s),
+k AS (SELECT doc_id, i, word, coalesce(max(CASE WHEN lost THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) > 0 AS gone FROM l),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""

@@ -402,3 +402,39 @@ def test_shared_folder(spark, monkeypatch):
         assert scratch.save(spark.range(3), "a").count() == 3
         base = scratch.base
     assert not os.path.exists(base)
+
+
+def test_substring_compares_words(spark):
+    """Words that polynomial hashes confuse, and windows whose hashes are equal though their words differ."""
+    for n in (6, 10, 11):
+        word, tail = thue_morse(n), " ".join(f"w{i}" for i in range(19))
+        rows = [(1, f"{word} {tail}"), (2, f"{word.translate(str.maketrans('ab', 'ba'))} {tail}"), (3, f"{word}  {tail} more")]
+        out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in out} == {1: (0, rows[0][1]), 2: (0, rows[1][1]), 3: (20, "more")}
+    blob, starts = b"aa ab aa ac ab", np.array([0, 3, 6, 9, 12])
+    for hashes in (np.zeros(5, np.uint64), np.array([1, 2, 1, 3, 2], np.uint64), np.array([1, 2, 1, 2, 2], np.uint64)):
+        assert substring_dedup.first_equal(blob, starts, starts + 2, hashes).tolist() == [0, 1, 0, 3, 1]
+
+
+def test_substring_leaves_no_table(spark, odd):
+    before = {t.name for t in spark.catalog.listTables()}
+    with common.Scratch(spark) as scratch:
+        assert substring_dedup.remove_repeats(odd, window=3, group=7, scratch=scratch).count() == 11
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_substring_odd_ids(spark):
+    """Ids as text: numbers are compared as such, the rest comes last."""
+    text = " ".join(f"w{i}" for i in range(25))
+    rows = [("10", text), ("9", text), ("x", text), (None, text)]
+    out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string"), texts=False).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in out) == [(0, 25), (0, 25), (9, 0), (10, 25)]
+
+
+def test_deal_keys_are_equal_for_equal_windows():
+    rng = np.random.default_rng(3)
+    word = rng.integers(0, 5, 400).astype(np.uint64)
+    for window in (1, 2, 3, 4, 5, 20):
+        at = np.arange(len(word) - window + 1)
+        keys, seen = substring_dedup.deal_keys(word, at, window), {}
+        assert all(seen.setdefault(tuple(word[i : i + window]), k) == k for i, k in zip(at, keys.tolist(), strict=True))
