@@ -16,11 +16,12 @@ Each comparison is the exact multiset overlap.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -31,7 +32,7 @@ WORDS = 5
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 THRESHOLD = 0.8
-CENTRAL = 8  # texts of a bucket that all its members are compared with, where it holds several classes
+CENTRAL = 8  # texts that all members of mixed buckets with one commonest class are compared with
 GROUPS = 64  # of shingles, whose counts bound the overlap of two texts
 WIDTH = 6  # bytes of a shingle's number
 PIECE = 1 << 19  # bytes worked on at once
@@ -277,23 +278,30 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
 
     rest = scratch.save(mixed(), "rest1")
     if not rest.isEmpty():
-        common = _shared_sizes(sets, rest.select("rid").distinct())
-        common = scratch.save(common, "common")
-        rest = rest.join(common, "rid")
-        place = F.row_number().over(W.partitionBy("bucket").orderBy(1 - F.col("shared") / F.col("size"), "rid"))  # only CENTRAL rows a task and bucket are moved
-        central = scratch.save(rest.withColumn("place", place).where(F.col("place") <= CENTRAL).select("bucket", F.col("rid").alias("b")), "central")
-        to_center = rest.join(central, "bucket").where("rid <> b").select(F.greatest("rid", "b").alias("a"), F.least("rid", "b").alias("b")).distinct()
+        common = scratch.save(_shared_sizes(sets, rest.select("rid").distinct()), "common")
+        # Of all buckets in which one class is the commonest, CENTRAL texts are chosen together: a text meets them once, in
+        # however many of these buckets it is. Of each task only CENTRAL rows are moved.
+        about = rest.select("main", "rid", "label", "size").distinct().join(common.select("rid", "shared"), "rid")
+        place = F.row_number().over(W.partitionBy("main").orderBy(1 - F.col("shared") / F.col("size"), "rid"))
+        central = about.withColumn("place", place).where(F.col("place") <= CENTRAL)
+        central = scratch.save(central.select("main", F.col("rid").alias("b"), F.col("label").alias("cb"), F.col("size").alias("sb"), F.col("shared").alias("mb")), "central")
+
+        def bounded(sa: str, sb: str, most) -> Column:
+            """Can texts of these sizes be similar enough if they share at most so much?"""
+            return most >= threshold * (F.col(sa) + F.col(sb) - most) - 1e-9
+
+        possible = (F.col("label") != F.col("cb")) & bounded("size", "sb", F.least("shared", "mb"))
+        to_center = about.join(central, "main").where(possible).select(F.greatest("rid", "b").alias("a"), F.least("rid", "b").alias("b")).distinct()
         joined(apart(to_center), "links3")
 
         rest = mixed().join(common, "rid").where(F.col("shared") >= threshold * F.col("size") - 1e-9)
-        rest = scratch.save(rest, "rest2")
-        left = rest.where("label <> main").select("bucket", F.col("rid").alias("a"), F.col("size").alias("sa"), F.col("shared").alias("ma"), F.col("groups").alias("ga"), F.col("label").alias("ca"))
-        right = rest.select("bucket", F.col("rid").alias("b"), F.col("size").alias("sb"), F.col("shared").alias("mb"), F.col("groups").alias("gb"), F.col("label").alias("cb"), (F.col("label") == F.col("main")).alias("inner"))
+        rest = scratch.save(rest.withColumn("step", F.floor(F.log("size") / math.log(1.01 / threshold))), "rest2")  # fitting sizes: the same step or the next one
+        left = rest.where("label <> main").select("bucket", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)).alias("step"), F.col("rid").alias("a"), F.col("size").alias("sa"), F.col("shared").alias("ma"), F.col("groups").alias("ga"), F.col("label").alias("ca"))
+        right = rest.select("bucket", "step", F.col("rid").alias("b"), F.col("size").alias("sb"), F.col("shared").alias("mb"), F.col("groups").alias("gb"), F.col("label").alias("cb"), (F.col("label") == F.col("main")).alias("inner"))
         overlap = F.aggregate(F.zip_with("ga", "gb", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
-        rough = F.least("ma", "mb")  # cheaper, so it comes first
-        possible = (F.col("ca") != F.col("cb")) & (F.col("inner") | (F.col("a") < F.col("b"))) & (rough >= threshold * (F.col("sa") + F.col("sb") - rough) - 1e-9)
-        possible = possible & (overlap >= threshold * (F.col("sa") + F.col("sb") - overlap) - 1e-9)
-        across = left.join(right, "bucket").where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        possible = (F.col("ca") != F.col("cb")) & (F.col("inner") | (F.col("a") < F.col("b")))
+        possible = possible & bounded("sa", "sb", F.least("ma", "mb")) & bounded("sa", "sb", overlap)  # the cheaper bound first
+        across = left.join(right, ["bucket", "step"]).where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         joined(across, "links4")
 
     whole = member.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rid", "doc_id", F.coalesce("label", "rep").alias("label"))
