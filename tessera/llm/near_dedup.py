@@ -156,32 +156,36 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def classes(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, label) of every node of edges(a, b): the smallest node of its connected component.
+    """(node, label) of every node of the saved edges(a, b): the smallest node of its connected component.
 
     Labels pass along edges and jump to their own label's label, so the rounds grow with the logarithm of a path.
     """
-    both = scratch.save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-both")
-    label = scratch.save(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), f"{name}-0")
+    n = 2 * edges.count()
+    both = scratch.save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-both", n)
+    label = scratch.save(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), f"{name}-0", n)
     step = 0
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         mine = label.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = label.select(F.col("node").alias("low"), F.col("label").alias("jump"))
         step += 1
-        new = scratch.save(mine.join(jump, "low", "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("label"), (F.least("low", F.coalesce("jump", "low")) < F.col("label")).alias("moved")), f"{name}-{step}")
+        new = mine.join(jump, "low", "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("label"), (F.least("low", F.coalesce("jump", "low")) < F.col("label")).alias("moved"))
+        new = scratch.save(new, f"{name}-{step}", n)
+        scratch.drop(f"{name}-{step - 1}")
         if new.where("moved").isEmpty():
             return new.select("node", "label")
         label = new.select("node", "label")
 
 
 def trees(parent: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, label) of every a of parent(a, b), which has one row an a and b < a: the root of its tree, by pointer jumping."""
-    own = scratch.save(parent.select(F.col("a").alias("node"), F.col("b").alias("label")), f"{name}-0")
-    step = 0
+    """(node, label) of every a of the saved parent(a, b), which has one row an a and b < a: the root of its tree, by pointer
+    jumping."""
+    own, n, step = parent.select(F.col("a").alias("node"), F.col("b").alias("label")), parent.count(), 0
     while True:
         step += 1
         jump = own.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = scratch.save(own.join(jump, "label", "left").select("node", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")), f"{name}-{step}")
+        new = scratch.save(own.join(jump, "label", "left").select("node", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")), f"{name}-{step}", n)
+        scratch.drop(f"{name}-{step - 1}")
         own = new.select("node", "label")
         if new.where("moved").isEmpty():
             return own
@@ -210,26 +214,28 @@ def _shared_sizes(sets: DataFrame, among: DataFrame) -> DataFrame:
     return out.select("rid", "groups", F.aggregate("groups", F.lit(0), lambda n, x: n + x).alias("shared"))
 
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, row: str | None = None) -> DataFrame:
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, row: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest doc_id of its class), class_size, kept, and `row` if given: a
     column of distinct long numbers that tells rows apart and says which is first.
 
     Classes are the connected components of texts whose multisets of lower-case five-word shingles have a weighted
     Jaccard similarity of threshold or more. Texts of equal words are always of one class, texts without a word among
     them (null counts as empty); a text of fewer than five words is one shingle. One row of each class is kept: the
-    smallest doc_id (nulls last), then the first row. No rows give no rows; other columns are ignored.
+    smallest doc_id (nulls last), then the first row. No rows give no rows; other columns are ignored. The result reads
+    tables of `scratch`, which the caller may close when done.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     rows = scratch.save(profile(docs, doc_id, text, row=row), "profile")
-    first = rows.groupBy("key").agg(F.min("rid").alias("rep"))
-    member = scratch.save(rows.select("rid", "doc_id", "key").join(first, "key").select("rid", "doc_id", "rep"), "member")
-    reps = rows.select("rid", "bands", "size").join(member.where("rid = rep").select("rid"), "rid")
-    band = scratch.save(reps.select("rid", "size", F.explode("bands").alias("bucket")), "band")
-    buckets = band.groupBy("bucket").agg(F.min("rid").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # What rows are joined with on a key that may be hot is a saved table, so that Spark can split the hot key's rows.
+    copies = scratch.save(rows.groupBy("key").agg(F.min("rid").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
+    member = rows.select("rid", "doc_id", "key", "size", "bands").join(copies, "key", "left").withColumn("rep", F.coalesce("rep", "rid"))
+    member = scratch.save(member.select("rid", "doc_id", "rep", "size", F.when(F.col("rid") == F.col("rep"), F.col("bands")).alias("bands")), "member")
+    band = member.where("bands is not null").select("rid", "size", F.explode("bands").alias("bucket"))
+    buckets = scratch.save(band.groupBy("bucket").agg(F.min("rid").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
     full = scratch.save(band.join(buckets, "bucket"), "full")
-    scratch.drop("band")
-    needed = full.select("rid").distinct()
+    needed = scratch.save(full.select("rid").distinct(), "needed")
     sets = scratch.save(rows.select("rid", "size", "layers").join(needed, "rid"), "sets")
+    scratch.drop("profile", "buckets", "needed")
 
     def fits(a: str, b: str):
         return F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9
@@ -258,10 +264,11 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
         new = linked(pairs, name)
         if new.isEmpty():
             return
-        to = classes(ends(new).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), scratch, f"{name}-classes").where("node <> label")
+        edges = scratch.save(ends(new).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), f"{name}-edges", new.count())
+        to = classes(edges, scratch, f"{name}-classes").where("node <> label")
         onto = to.select(F.col("node").alias("label"), F.col("label").alias("low"))
         moved = label.join(onto, "label", "left").select("node", F.coalesce("low", "label").alias("label"))
-        label = scratch.save(moved.unionByName(to), f"{name}-label")
+        label = scratch.save(moved.unionByName(to), f"{name}-label", label.count() + new.count())
 
     def apart(pairs: DataFrame) -> DataFrame:
         return ends(pairs).select("a", "b")
@@ -304,10 +311,16 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
         across = left.join(right, ["bucket", "step"]).where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         joined(across, "links4")
 
+    scratch.drop("full", "sets", "common", "central", "rest1", "rest2")
     whole = member.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rid", "doc_id", F.coalesce("label", "rep").alias("label"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
-    group = whole.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("class_size"))
-    return whole.join(group, "label").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept"), *([F.col("rid").alias(row)] if row else []))
+    group = whole.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("class_size")).where("class_size > 1")
+    out = whole.join(scratch.save(group, "groups"), "label", "left")
+    alone = F.col("class_size").isNull()
+    return out.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        (alone | (F.col("rid") == F.col("first.rid"))).alias("kept"), *([F.col("rid").alias(row)] if row else []),
+    )
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
