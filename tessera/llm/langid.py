@@ -9,16 +9,17 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fold, sampled
+from .common import col, fold, mix, sampled
 
 DIM = 512
-LETTERS = 64  # 0: anything that isn't a letter; 1-26: a-z; the rest: buckets of the other letters
+BUCKETS = 1 << 18  # of trigrams, in the profiles that likeness is measured by
 SEED = 20_241
 MAX_TRAIN = 20_000  # documents of a language, by expectation, that its prototype is learned from
 FEW = 0.001  # share of the training texts and their beginnings that may lie below the bound of likeness before MARGIN
@@ -26,17 +27,17 @@ MARGIN = 0.5  # of that quantile: the bound, so that clean texts unlike the trai
 LONGEST = 4096  # words of the longest beginning; beyond it the whole text is taken
 
 
+@cache
 def letter_codes() -> np.ndarray:
-    """Code of every code point."""
-    table = np.zeros(0x110000, np.int32)
-    for point in range(0x110000):
-        if unicodedata.category(chr(point))[0] == "L":
-            table[point] = point - 96 if 97 <= point <= 122 else 27 + point % (LETTERS - 27)
-    return table
+    """Each code point that is a letter stands for itself, any other for 0."""
+    return np.array([point if unicodedata.category(chr(point))[0] == "L" else 0 for point in range(0x110000)], np.int64)
 
 
-def letter_vectors() -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (LETTERS, DIM))
+def letter_vectors(letters: np.ndarray) -> np.ndarray:
+    """The random vector of +1 and -1 that each letter owns, drawn from its code point; one row a letter."""
+    blocks = np.arange(DIM // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bits = mix(mix(letters.astype(np.uint64) + np.uint64(SEED))[:, None] + blocks)
+    return (2 * np.unpackbits(bits.view(np.uint8), axis=1).astype(np.int8) - 1).reshape(len(letters), DIM)
 
 
 def trigrams(text: str, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,31 +45,50 @@ def trigrams(text: str, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     points = codes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
     letter = points > 0
     if not letter.any():
-        return np.empty(0, np.int32), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    line = np.concatenate([[0], points[keep], [0]]).astype(np.int32)
-    grams = np.sort((line[:-2] << 12) | (line[1:-1] << 6) | line[2:])
+    line = np.concatenate([[0], points[keep], [0]])
+    grams = np.sort((line[:-2] << 42) | (line[1:-1] << 21) | line[2:])
     first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
     return grams[first], np.diff(np.concatenate([first, [len(grams)]]))
 
 
-def gram_vectors(grams: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """The bound vectors of trigram numbers."""
-    twice, once = np.roll(vectors, 2, 1), np.roll(vectors, 1, 1)
-    return twice[grams >> 12] * once[(grams >> 6) & 63] * vectors[grams & 63]
+def gram_vectors(grams: np.ndarray) -> np.ndarray:
+    """The bound vectors of trigram numbers: the first letter's rotated twice, the second's once, and the third's, multiplied."""
+    mask = (1 << 21) - 1
+    letters, back = np.unique(np.concatenate([grams >> 42, (grams >> 21) & mask, grams & mask]), return_inverse=True)
+    vectors, (a, b, c) = letter_vectors(letters), back.reshape(3, -1)
+    return np.roll(vectors, 2, 1)[a] * np.roll(vectors, 1, 1)[b] * vectors[c]
 
 
-def _counts(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def buckets(grams: np.ndarray) -> np.ndarray:
+    return (mix(grams.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _bundles(own: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+    """The bundled vector of each text's trigrams; those of one trigram are bound once for all texts."""
+    known = np.unique(np.concatenate([np.empty(0, np.int64), *(g for g, _ in own)]))
+    bound = gram_vectors(known).astype(np.float32)
+    for grams, n in own:
+        yield n.astype(np.float32) @ bound[np.searchsorted(known, grams)]
+
+
+def _sums(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each language the sums over its texts, each counting as 1: of vectors (at 0 to DIM - 1), of trigram buckets (beyond)."""
     codes, totals = letter_codes(), {}
     for page in pages:
-        for lang, text in zip(page["lang"], page["text"], strict=True):
-            grams, n = trigrams(text, codes)
-            if len(grams):
-                totals.setdefault(lang, np.zeros(LETTERS**3))[grams] += n / n.sum()
+        for begin in range(0, len(page), 64):
+            part = page.iloc[begin : begin + 64]
+            own = [trigrams(t, codes) for t in part["text"]]
+            for lang, (grams, n), bundle in zip(part["lang"], own, _bundles(own), strict=True):
+                if len(grams):
+                    total = totals.setdefault(lang, np.zeros(DIM + BUCKETS))
+                    total[:DIM] += bundle / n.sum()
+                    np.add.at(total, DIM + buckets(grams), n / n.sum())
     for lang, total in totals.items():
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"lang": lang, "gram": at, "n": total[at]})
+        yield pd.DataFrame({"lang": lang, "at": at, "n": total[at]})
 
 
 def training(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_train: int = MAX_TRAIN) -> DataFrame:
@@ -84,45 +104,30 @@ def training(docs: DataFrame, train: Column, text: str = "text", lang: str = "la
     return rows.where(sampled(F.col("doc_id"), F.coalesce(shares[F.col("lang")], F.lit(1.0)), SEED))
 
 
-def profiles(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Trigram numbers and summed shares of every language; what reaches the driver is bounded by languages x 64**3 counts."""
-    sums = rows.select("lang", "text").mapInPandas(_counts, "lang string, gram int, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = sums.toPandas().sort_values(["lang", "gram"])
-    return {name: (part["gram"].to_numpy(np.int32), part["n"].to_numpy()) for name, part in found.groupby("lang")}
+def profiles(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages in order, their prototypes and their profiles over the trigram buckets, as unit rows.
 
-
-def prototypes(known: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the vectors of their profiles, as unit rows."""
-    names, vectors = sorted(known), letter_vectors()
-    out = np.zeros((len(names), DIM))
-    for k, name in enumerate(names):
-        grams, n = known[name]
-        for i in range(0, len(grams), 20_000):
-            out[k] += n[i : i + 20_000] @ gram_vectors(grams[i : i + 20_000], vectors).astype(np.float64)
-        out[k] /= np.linalg.norm(out[k]) or 1
-    return names, out.astype(np.float32)
+    What reaches the driver is at most DIM + BUCKETS numbers a language."""
+    sums = rows.select("lang", "text").mapInPandas(_sums, "lang string, at int, n double").groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    found = sums.toPandas()
+    names = sorted(set(found["lang"]))
+    out = np.zeros((len(names), DIM + BUCKETS))
+    out[np.searchsorted(names, found["lang"].to_numpy(str)), found["at"].to_numpy(np.int64)] = found["n"]
+    unit = lambda x: (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    return names, unit(out[:, :DIM]), unit(out[:, DIM:])
 
 
 def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes (unit rows), learned from training()."""
-    return prototypes(profiles(training(docs, train, text, lang, doc_id, max_train)))
-
-
-def _unit_profiles(known: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Profiles over all trigrams, one unit row a language."""
-    out = np.zeros((len(known), LETTERS**3), np.float32)
-    for k, name in enumerate(sorted(known)):
-        grams, n = known[name]
-        out[k, grams] = n / (np.linalg.norm(n) or 1)
-    return out
+    return profiles(training(docs, train, text, lang, doc_id, max_train))[:2]
 
 
 def _likeness(grams: np.ndarray, n: np.ndarray, units: np.ndarray) -> float:
     """Cosine of trigram counts with the nearest profile: what the cosine of vectors tends to as they grow, without noise."""
-    return float((units[:, grams] @ n).max() / np.linalg.norm(n)) if len(grams) and len(units) else 0.0
+    return float((units[:, buckets(grams)] @ n).max() / np.linalg.norm(n)) if len(grams) and len(units) else 0.0
 
 
-def least_likeness(rows: DataFrame, known: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def least_likeness(rows: DataFrame, units: np.ndarray) -> np.ndarray:
     """The likeness that a text needs to count as one of a known language, by the bits of its number of distinct trigrams.
 
     Training texts and their beginnings of 1, 2, 4, ... words say what texts of that many trigrams reach: the bound is MARGIN
@@ -130,7 +135,7 @@ def least_likeness(rows: DataFrame, known: dict[str, tuple[np.ndarray, np.ndarra
     """
 
     def beginnings(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, units = letter_codes(), _unit_profiles(known)
+        codes = letter_codes()
         for page in pages:
             out = []
             for text in page["text"]:
@@ -147,46 +152,42 @@ def least_likeness(rows: DataFrame, known: dict[str, tuple[np.ndarray, np.ndarra
 
     found = rows.select("text").mapInPandas(beginnings, "bits int, likeness double").groupBy("bits").agg(F.percentile(F.round("likeness", 5), F.lit(FEW)).alias("least"))
     own = {r["bits"]: MARGIN * r["least"] for r in found.collect()}
-    out = np.full((LETTERS**3).bit_length() + 1, np.nan)
+    out = np.full(64, np.nan)
     for bits, least in own.items():
         out[bits] = least
     return np.maximum(pd.Series(out).ffill().bfill().fillna(0).to_numpy(), 1e-9)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", like: tuple[dict, np.ndarray] | None = None) -> DataFrame:
-    """All columns of docs and lang_pred, score: the cosine with the nearest prototype, 0 where negative.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", like: tuple[np.ndarray, np.ndarray] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs and two more called `names`: the language, and the cosine with its prototype, 0 where negative.
 
     A null text, one without a letter, or a model without languages gives `und` and 0. Equal cosines: the first name.
-    With like = (profiles, least_likeness), so do texts that are not like any language. Texts are read whole. Columns of
-    docs named lang_pred or score are replaced.
+    With like = (unit profiles, least_likeness), so do texts that are not like any language. Texts are read whole. Columns of
+    docs with these names are replaced.
     """
-    names, vectors_of = model
+    languages, vectors_of = model
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codes, vectors = letter_codes(), letter_vectors()
-        units = _unit_profiles(like[0]) if like else None
+        codes = letter_codes()
         for batch in batches:
             found, scores = [], []
             for begin in range(0, len(batch), 128):
-                own = [trigrams(t, codes) if isinstance(t, str) else trigrams("", codes) for t in batch.iloc[begin : begin + 128]]
-                known = np.unique(np.concatenate([g for g, _ in own]))
-                bound = gram_vectors(known, vectors).astype(np.float32)
-                for grams, n in own:
-                    if not len(grams) or not names or (like and _likeness(grams, n, units) < like[1][len(grams).bit_length()]):
+                own = [trigrams(t if isinstance(t, str) else "", codes) for t in batch.iloc[begin : begin + 128]]
+                for (grams, n), bundle in zip(own, _bundles(own), strict=True):
+                    if not len(grams) or not languages or (like and _likeness(grams, n, like[0]) < like[1][len(grams).bit_length()]):
                         found.append("und")
                         scores.append(0.0)
                         continue
-                    bundle = n.astype(np.float32) @ bound[np.searchsorted(known, grams)]
                     cosines = vectors_of @ bundle / max(float(np.linalg.norm(bundle)), 1e-9)
                     best = int(np.argmax(cosines))
-                    found.append(names[best])
+                    found.append(languages[best])
                     scores.append(float(min(1.0, max(0.0, cosines[best]))))
-            yield pd.DataFrame({"lang_pred": found, "score": scores})
+            yield pd.DataFrame({"lang": found, "score": scores})
 
-    keep = [col(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [col(c) for c in docs.columns if c not in names]
     out = docs.select(*keep, of(col(text)).alias("__langid"))
-    return out.select(*keep, F.col("__langid.lang_pred"), F.col("__langid.score"))
+    return out.select(*keep, F.col("__langid.lang").alias(names[0]), F.col("__langid.score").alias(names[1]))
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
