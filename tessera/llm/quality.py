@@ -1,6 +1,6 @@
 """Quality classifier: hashed word and character n-gram embeddings, averaged per document, under a softmax.
 
-Features are whitespace words and 4-byte n-grams of the UTF-8 text, hashed to BUCKETS rows of a learned embedding table.
+Features are whitespace words and n-grams of four characters, hashed to BUCKETS rows of a learned embedding table.
 A document's vector is the mean of its features' rows; a softmax over two classes follows. Everything is trained by
 numpy stochastic gradient descent on a bounded sample. The output is linear in the embeddings, so for scoring the table
 is folded into one number per bucket: the difference of the two logits.
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import ascii_space, by_size, col, fold, mix, runs, sampled, span_hashes
+from .common import ascii_space, by_size, col, fold, mix, runs, salt, sampled, span_hashes
 
 BUCKETS = 1 << 17
 DIM = 16
@@ -24,40 +24,39 @@ EPOCHS = 6
 SEED = 907
 MAX_TRAIN = 4_000  # labelled documents, by expectation, that the embeddings are learned from
 GRAM = 4
-PIECE = 1 << 19  # bytes hashed at once
+PIECE = 1 << 18  # characters hashed at once
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all features of the texts, and the text that each belongs to.
 
     Texts stand apart by line feeds, so a text's features don't depend on its neighbours.
     """
-    gap = b"\n" * GRAM
-    sizes = np.array([len(t) for t in texts], np.int64)
-    begins = np.cumsum(np.concatenate([[0], sizes + GRAM]))
-    buf = np.frombuffer(gap.join([*texts, b""]), np.uint8)
-    owner = np.repeat(np.arange(len(texts)), sizes + GRAM)
-    inside = np.arange(len(buf)) < np.repeat(begins[:-1] + sizes, sizes + GRAM)
-    wide = np.concatenate([buf, np.zeros(GRAM, np.uint8)]).astype(np.uint64)
-    packed = wide[: len(buf)].copy()
-    for k in range(1, GRAM):
-        packed |= wide[k : k + len(buf)] << np.uint64(8 * k)
-    at = np.flatnonzero(inside)
-    grams = mix(packed[at])
+    encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    begins = np.cumsum([0, *(len(t) + 1 for t in encoded)])
+    buf = np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)
     starts, ends = runs(~ascii_space()[buf])
     words = span_hashes(buf, starts, ends)
+
+    sizes = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer(("\n" * GRAM).join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(len(owner)) + GRAM * owner  # places of the texts' own characters
+    grams = np.zeros(len(at), np.uint64)
+    for k in range(GRAM):
+        grams = mix(grams + points[at + k] + salt(k + 1))
     ids = np.concatenate([grams, words]) % np.uint64(BUCKETS)
-    return ids.astype(np.int32), np.concatenate([owner[at], owner[starts]])
+    return ids.astype(np.int32), np.concatenate([owner, np.searchsorted(begins, starts, "right") - 1])
 
 
-def _encoded(batch: pd.Series) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch]
+def _texts(batch: pd.Series) -> list[str]:
+    return [t if isinstance(t, str) else "" for t in batch]
 
 
 @F.pandas_udf(StructType([StructField("ids", BinaryType()), StructField("n", BinaryType())]))
 def _bag(batch: pd.Series) -> pd.DataFrame:
     out = []
-    for text in _encoded(batch):
+    for text in _texts(batch):
         ids, n = np.unique(features([text])[0], return_counts=True)
         out.append((ids.astype(np.int32).tobytes(), n.astype(np.int32).tobytes()))
     return pd.DataFrame(out, columns=["ids", "n"])
@@ -101,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "qu
     there = rows.count()
     if there > max_train:
         rows = rows.where(sampled(F.col("doc_id"), max_train / there, SEED))
-    rows = rows.limit(2 * max_train)
+    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(2 * max_train)
     own = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
     own = own.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # an id may be repeated without bound
     got = own.select("doc_id", "label", _bag(F.col("text")).alias("bag")).select("doc_id", "label", "bag.ids", "bag.n").toPandas().sort_values("doc_id")
@@ -116,7 +115,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            texts = _encoded(batch)
+            texts = _texts(batch)
             out = np.full(len(texts), bias)
             for part in by_size([len(t) for t in texts], PIECE):
                 ids, owner = features(texts[part])
