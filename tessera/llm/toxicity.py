@@ -23,6 +23,7 @@ from .near_dedup import M, ROWS, bag, shingles, signatures
 BUCKETS = 1 << 18
 SEED = 411
 MAX_TOXIC, MAX_CLEAN = 1_500, 3_000  # labelled documents, by expectation, of either kind in the training sample
+MAX_BYTES = 64 << 20  # of text that the training sample may have; documents beyond it, in the order of hashes, are left out whole
 EVIDENCE = 20.0  # least log-likelihood ratio of a word or stem
 STEM = 5
 PIECE = 1 << 19  # bytes tagged at once
@@ -201,20 +202,27 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int =
     return weights, bias, move, start
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN):
+def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES):
     """Learn from a bounded sample of labels(doc_id, label) where train_rows holds; null labels and ids teach nothing.
 
-    Of repeated ids the largest label and the smallest text count, of equal texts and near copies one is used. The ids of the sample are bounded, so they are
-    broadcast; the driver gets the sample's texts only.
+    Of repeated ids the largest label and the smallest text count, of equal texts and near copies one is used. The ids of the
+    sample are bounded, so they are broadcast; the driver gets the sample's texts only, at most max_bytes of them.
     """
     rows = labels.where(train_rows).select(F.col("doc_id"), col(label).cast("int").alias("label"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
     there = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     keep = F.when(F.col("label") == 1, sampled(F.col("doc_id"), min(1.0, max_toxic / max(there.get(1, 0), 1)), SEED))
     rows = rows.where(keep.otherwise(sampled(F.col("doc_id"), min(1.0, max_clean / max(there.get(0, 0), 1)), SEED)))
-    rows = rows.limit(2 * (max_toxic + max_clean))
-    got = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(rows), "doc_id")
-    got = got.groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas()  # an id may be repeated without bound
+    order = F.xxhash64("doc_id", F.lit(SEED))
+    rows = rows.orderBy(order, "doc_id").limit(2 * (max_toxic + max_clean))
+    own = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    size = own.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "label").agg(F.max(F.octet_length("text")).alias("size"), order.alias("place")).toPandas()
+    size = size.sort_values(["place", "doc_id"])
+    chosen = size[size["size"].cumsum() <= max_bytes][["doc_id", "label"]]
+    if chosen.empty:
+        return train([], np.empty(0, np.int64))
+    few = docs.sparkSession.createDataFrame(list(chosen.itertuples(index=False, name=None)), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, label int")
+    got = own.join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas()  # an id may be repeated without bound
     got = got.sort_values("doc_id").drop_duplicates("text")
     texts, known = [x.encode("utf-8", "surrogatepass") for x in got["text"]], got["label"].to_numpy(np.int64)
     keep = _apart(texts, known)
