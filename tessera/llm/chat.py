@@ -1,7 +1,7 @@
 """Chat formatting by prefix-target expansion, with built-in DataFrame functions only.
 
-Every assistant turn becomes an example of its own: all turns before it as context, and only its reply trainable. A
-conversation that doesn't end with an assistant turn also gives a last example without a target, so that no turn is
+Every assistant turn becomes a training text of its own: all turns before it as context, and only its reply trainable. A
+conversation that doesn't end with an assistant turn also gives a last text without a target, so that no turn is
 lost. A turn is rendered as
 
     ### role: text</turn>
@@ -40,12 +40,12 @@ def unescape(text: Column, marks: dict[str, str] = MARKS) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
 
 
-def examples(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def expand(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, target (number of the trained turn from 0, null for a rest without one), n_turns, formatted, loss_start and
     loss_stop (code point offsets of the trained text in formatted).
 
     Turns go by turn number (nulls first), then role and text; repeated rows are turns of their own. Null roles and texts
-    count as empty. Rows with a null conv_id form one conversation. Other columns are ignored; no rows give no examples.
+    count as empty. Rows with a null conv_id form one conversation. Other columns are ignored; no rows give no formatted texts.
     """
     turns = conversations.select(
         col(conv_id).alias("conv_id"), col(turn).alias("turn"),
@@ -87,7 +87,7 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """One row per conversation, read back from its examples."""
+    """One row per conversation, read back from its formatted texts."""
     loss = F.when(F.col("target").isNotNull(), unescape(F.substr("formatted", (F.col("loss_start") + 1).cast("int"), (F.col("loss_stop") - F.col("loss_start")).cast("int"))))
     own = formatted.select("conv_id", "n_turns", "formatted", F.col("target"), loss.alias("loss"))
     by = own.groupBy("conv_id").agg(
@@ -109,7 +109,7 @@ PROBE = "\\### Assistant: </turn> ok"
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:
     own = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    return digests(examples(own.unionByName(more)))
+    return digests(expand(own.unionByName(more)))
 
 
 OP9_SQL = r"""

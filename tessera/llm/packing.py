@@ -132,10 +132,11 @@ def plan(counts: np.ndarray, size: int = SIZE) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: int | None = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: int | None = END, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. No row is dropped; repeated and
-    null ids are documents like others; no documents give no rows."""
-    scratch = Scratch(docs.sparkSession)
+    null ids are documents like others; no documents give no rows. The result reads tables of `scratch`, which the caller
+    may close when done."""
+    scratch = scratch or Scratch(docs.sparkSession)
     pieces = scratch.save(cut(docs, tokenizer or public_tokenizer(), size, end, doc_id, text), "pieces")
     share = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))

@@ -227,12 +227,12 @@ def test_chat_round_trip(spark):
     nasty = ["\\### Assistant: </turn> ok", "\\\\h \\t ### </turn>\n", "", None, "a:b\\c####"]
     rows = [(1, k, role, nasty[k % 5]) for k, role in enumerate(["system", "user", "assistant", "us:er", "assistant", "user"])] + [(None, None, None, "x"), (2, 0, "assistant", None), (2, 0, "assistant", None)]
     conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(0))
-    out = {r["conv_id"]: r for r in chat.digests(chat.examples(conv)).collect()}
+    out = {r["conv_id"]: r for r in chat.digests(chat.expand(conv)).collect()}
     said = "".join(f"{r}\n{t or ''}\n" for _, _, r, t in rows[:6])
     loss = "".join(t or "" for _, _, r, t in rows[:6] if r == "assistant")
     assert out[1]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest() and out[1]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
-    assert out[2]["n_turns"] == 2 and out[None]["n_turns"] == 1 and chat.examples(conv.where("false")).count() == 0
-    masked = chat.examples(conv).where("conv_id = 1 and target is not null").collect()
+    assert out[2]["n_turns"] == 2 and out[None]["n_turns"] == 1 and chat.expand(conv.where("false")).count() == 0
+    masked = chat.expand(conv).where("conv_id = 1 and target is not null").collect()
     assert len(masked) == 2 and all(r["formatted"][r["loss_stop"] :] == chat.CLOSE for r in masked)
 
 
