@@ -110,6 +110,11 @@ def short_number(value: Column) -> Column:
     return F.when(value >= 999_995, F.concat(two(1_000_000), F.lit("M"))).when(value >= 1000, F.concat(two(1000), F.lit("K"))).otherwise(value.cast("string"))
 
 
+def kelly(win: Column, odds: Column, most: float = 0.25) -> Column:
+    """The Kelly stake (win * odds - loss) / odds between 0 and `most`; 0 for odds of 0 or less."""
+    return F.when(odds <= 0, F.lit(0.0)).otherwise(F.least(F.greatest((win * odds - (1 - win)) / odds, F.lit(0.0)), F.lit(most)))
+
+
 @F.pandas_udf(StringType())
 def casefold_norm(text: pd.Series) -> pd.Series:
     """NFKC, case folded, white space squeezed; null stays null. No built-in function normalises Unicode."""

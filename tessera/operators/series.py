@@ -10,9 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def monthly_counts(rows: DataFrame, key: str, ts: str) -> DataFrame:
+    """(key, ym, n) of the months in which a key has rows."""
+    return rows.groupBy(key, (F.year(ts) * 100 + F.month(ts)).cast("long").alias("ym")).agg(F.count("*").alias("n"))
+
+
 def monthly(rows: DataFrame, key: str, ts: str) -> DataFrame:
     """(key, ym, n), zero where a key has no rows in a month that others have."""
-    own = rows.select(F.col(key).alias("key"), (F.year(ts) * 100 + F.month(ts)).alias("ym")).groupBy("key", "ym").agg(F.count("*").alias("n"))
+    own = monthly_counts(rows, key, ts).withColumnRenamed(key, "key")
     months, keys = own.select("ym").distinct(), own.select("key").distinct()
     return keys.crossJoin(months).join(own, ["key", "ym"], "left").select("key", "ym", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -22,6 +22,12 @@ def quantile_bucket(value: Column, edges: Column, names: tuple[str, ...]) -> Col
     return out.otherwise(names[-1])
 
 
+def log_loss(label: Column, p: Column, least: float = 1e-6) -> Column:
+    """The mean log loss of probabilities p of a boolean label, as an aggregate; p is kept off 0 and 1."""
+    p = F.least(F.greatest(p, F.lit(least)), F.lit(1 - least))
+    return F.avg(-F.when(label, F.log(p)).otherwise(F.log(1 - p)))
+
+
 def bootstrap_ci(rows: DataFrame, bucket: str, value: str, resamples: int = 1000, seed: int = 42, chunks: int = 8, least: int = 5) -> DataFrame:
     """(bucket, n, median, ci_low, ci_high): percentile interval of the bootstrap median.
 

@@ -92,31 +92,20 @@ def knn_topk(spark, sf_dir):
     return _neighbours(spark, sf_dir, 5).select("vec_id", "neighbour", F.col("place").cast("long").alias("place"), F.round("similarity", 6).alias("sim"))
 
 
-@query(_KNN + " SELECT vec_id, round(s, 6) AS sim FROM r WHERE place = 5 ORDER BY s, vec_id LIMIT 24")
-def knn_isolation(spark, sf_dir):
-    return V.isolation(_neighbours(spark, sf_dir, 5), 5).orderBy("similarity", "vec_id").limit(24).select("vec_id", F.round("similarity", 6).alias("sim"))
-
-
-@query(_KNN + " SELECT least(vec_id, neighbour) AS a, greatest(vec_id, neighbour) AS b, round(max(s), 6) AS sim FROM r WHERE place <= 7 AND la <> lb AND s BETWEEN 0.3 AND 0.5 GROUP BY 1, 2")
-def hidden_twins(spark, sf_dir):
-    about = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return V.twins(_neighbours(spark, sf_dir, 7), about, 0.3, 0.5).select("a", "b", F.round("similarity", 6).alias("sim"))
-
-
-# The three queries above answer for the ids divisible by 20. The next two ask every vector, as isolation and twins need.
+# knn_topk and semantic_topk_distinct are searches and ask for the ids divisible by 20; isolation and twins need every vector.
 _KNN_ALL = """WITH p AS (SELECT a.vec_id, b.vec_id AS neighbour, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s, a.label AS la, b.label AS lb FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour) AS place FROM p)"""
 
 
 @query(_KNN_ALL + " SELECT vec_id, round(s, 6) AS sim FROM r WHERE place = 5 ORDER BY s, vec_id LIMIT 24")
-def knn_isolation_all(spark, sf_dir):
+def knn_isolation(spark, sf_dir):
     """The 24 loneliest of all vectors."""
     own = table(spark, sf_dir, "embeddings")
     return V.isolation(V.knn(own, own, 5), 5).orderBy("similarity", "vec_id").limit(24).select("vec_id", F.round("similarity", 6).alias("sim"))
 
 
 @query(_KNN_ALL + " SELECT least(vec_id, neighbour) AS a, greatest(vec_id, neighbour) AS b, round(max(s), 6) AS sim FROM r WHERE place <= 7 AND la <> lb AND s BETWEEN 0.3 AND 0.5 GROUP BY 1, 2")
-def hidden_twins_all(spark, sf_dir):
+def hidden_twins(spark, sf_dir):
     """Twins among all vectors."""
     own = table(spark, sf_dir, "embeddings")
     return V.twins(V.knn(own, own, 7), own.select("vec_id", "label"), 0.3, 0.5).select("a", "b", F.round("similarity", 6).alias("sim"))

@@ -124,11 +124,11 @@ def test_isolation_and_twins_ask_every_vector(spark, tmp_path):
     rows.append((113, np.eye(8)[1] * 0.4 + np.eye(8)[3] * math.sqrt(1 - 0.16), "b"))
     df = spark.createDataFrame([(i, [float(x) for x in v], g) for i, v, g in rows], "vec_id long, embedding array<float>, label string")
     df.write.parquet(str(tmp_path / "embeddings.parquet"))
-    assert plans.QUERIES["knn_isolation_all"](spark, str(tmp_path)).first()["vec_id"] == 7
+    assert plans.QUERIES["knn_isolation"](spark, str(tmp_path)).first()["vec_id"] == 7
     names, vecs, labels = [r[0] for r in rows], np.array([r[1] for r in rows], np.float32).astype(float), [r[2] for r in rows]
     vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
     similar = vecs @ vecs.T
     np.fill_diagonal(similar, -2)
     want = {tuple(sorted((names[i], names[j]))) for i in range(len(rows)) for j in np.argsort(-similar[i])[:7] if labels[i] != labels[j] and 0.3 <= similar[i, j] <= 0.5}
-    got = {(r["a"], r["b"]) for r in plans.QUERIES["hidden_twins_all"](spark, str(tmp_path)).collect()}
+    got = {(r["a"], r["b"]) for r in plans.QUERIES["hidden_twins"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) >= 5 and all(a % 20 and b % 20 for a, b in want)
