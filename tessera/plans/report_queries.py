@@ -47,69 +47,6 @@ def keyword_category(spark, sf_dir):
     return score.groupBy("doc_id").agg(F.min_by("category", F.struct(-F.col("score"), F.col("place"))).alias("category"), F.max("score").alias("score"))
 
 
-_SEVERITY = f"SELECT doc_id, source, category, sum(n) AS hits, sum(weight * n) + 0.5 * (count(*) - 1) AS severity FROM ({_HITS}) GROUP BY ALL"
-
-
-def _severity(spark, sf_dir):
-    own = _hits(spark, sf_dir).groupBy("doc_id", "source", "category")
-    return own.agg(F.sum("n").alias("hits"), (F.sum(F.col("weight") * F.col("n")) + F.lit(0.5) * (F.count("*") - 1)).alias("severity"))
-
-
-@query(f"SELECT doc_id, category, CAST(hits AS BIGINT) AS hits, s.severity + 0.05 * least(exclam, 40) AS severity FROM ({_SEVERITY}) s JOIN ({_FEATURES}) f USING (doc_id)")
-def category_severity(spark, sf_dir):
-    found = _severity(spark, sf_dir).join(_features(spark, sf_dir).select("doc_id", "exclam"), "doc_id")
-    return found.select("doc_id", "category", "hits", (F.col("severity") + F.lit(0.05) * F.least("exclam", F.lit(40))).alias("severity"))
-
-
-@query(f"SELECT source, category, count(*) AS docs, CAST(sum(hits) AS BIGINT) AS hits, round(avg(severity), 6) AS mean_severity, max(severity) AS worst FROM ({_SEVERITY}) GROUP BY ALL")
-def category_report(spark, sf_dir):
-    return _severity(spark, sf_dir).groupBy("source", "category").agg(F.count("*").alias("docs"), F.sum("hits").alias("hits"), F.round(F.avg("severity"), 6).alias("mean_severity"), F.max("severity").alias("worst"))
-
-
-@query(f"SELECT doc_id, category, w, n FROM ({_HITS}) h WHERE w NOT IN ('de', 'on') AND NOT (category = 'place' AND doc_id IN (SELECT doc_id FROM ({_HITS}) WHERE w = 'und'))")
-def trap_filter(spark, sf_dir):
-    """Hits without ambiguous words, and without places in documents that hold a trap word."""
-    hits = _hits(spark, sf_dir)
-    trapped = hits.where("w = 'und'").select("doc_id", F.lit("place").alias("category"))
-    return hits.where("w NOT IN ('de', 'on')").join(trapped, ["doc_id", "category"], "left_anti").select("doc_id", "category", "w", "n")
-
-
-@query("SELECT doc_id, CASE WHEN regexp_matches(t, 'license|copyright') THEN 'legal' WHEN regexp_matches(t, 'https?://') THEN 'link' WHEN regexp_matches(t, '[0-9]{3}') THEN 'figures' ELSE 'plain' END AS class FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)")
-def context_class(spark, sf_dir):
-    t = F.lower(F.coalesce("text", F.lit("")))
-    found = F.when(t.rlike("license|copyright"), "legal").when(t.rlike("https?://"), "link").when(t.rlike("[0-9]{3}"), "figures").otherwise("plain")
-    return table(spark, sf_dir, "documents").select("doc_id", found.alias("class"))
-
-
-_SIGNALS = "SELECT doc_id, source, unnest([struct_pack(signal := 'strong', score := strong + 0.4 * markers), struct_pack(signal := 'rant', score := CASE WHEN words >= 80 THEN least(words, 1500) / 80.0 + 2 * strong + 0.1 * least(exclam, 80) ELSE 0 END), struct_pack(signal := 'short', score := CASE WHEN words BETWEEN 1 AND 30 THEN (4.0 * strong + 2 * markers) / words ELSE 0 END)], recursive := true) FROM (" + _FEATURES + ")"
-
-
-@query(f"SELECT source, signal, doc_id, round(score, 6) AS score FROM ({_SIGNALS}) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY source, signal ORDER BY round(score, 6) DESC, doc_id) <= 40")
-def topk_multi_signal(spark, sf_dir):
-    """The 40 best documents of each source and signal."""
-    rant = "CASE WHEN words >= 80 THEN least(words, 1500) / 80D + 2 * strong + 0.1D * least(exclam, 80) ELSE 0D END"
-    short = "CASE WHEN words BETWEEN 1 AND 30 THEN (4D * strong + 2 * markers) / words ELSE 0D END"
-    long = _features(spark, sf_dir).selectExpr("doc_id", "source", f"stack(3, 'strong', strong + 0.4D * markers, 'rant', {rant}, 'short', {short}) AS (signal, score)")
-    long = long.where("score > 0").withColumn("score", F.round("score", 6))
-    place = F.row_number().over(W.partitionBy("source", "signal").orderBy(F.desc("score"), "doc_id"))
-    return long.withColumn("place", place).where("place <= 40").drop("place")
-
-
-@query(f"SELECT doc_id, strong * 2.0::DOUBLE + markers * 1.5::DOUBLE + CASE WHEN chars BETWEEN 200 AND 1500 THEN 0.5::DOUBLE ELSE 0 END AS score FROM ({_FEATURES}) ORDER BY score DESC, doc_id LIMIT 200")
-def heuristic_tier1(spark, sf_dir):
-    score = F.col("strong") * 2.0 + F.col("markers") * 1.5 + F.when(F.col("chars").between(200, 1500), 0.5).otherwise(0.0)
-    return _features(spark, sf_dir).select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(200)
-
-
-@query(f"SELECT doc_id, (CASE WHEN exclam > 2 THEN 1.4::DOUBLE * s + 4 ELSE s END) * (CASE WHEN words < 10 THEN 0.5::DOUBLE WHEN words > 600 THEN 0.8::DOUBLE ELSE 1 END) AS score FROM (SELECT *, (strong + markers) * CASE WHEN markers > 3 THEN 0.6::DOUBLE ELSE 1 END AS s FROM ({_FEATURES}))")
-def rerank_score(spark, sf_dir):
-    """A chain of adjustments whose order matters: markers, exclamations, length."""
-    score = (F.col("strong") + F.col("markers")) * F.when(F.col("markers") > 3, 0.6).otherwise(1.0)
-    score = F.when(F.col("exclam") > 2, score * 1.4 + 4).otherwise(score)
-    score = score * F.when(F.col("words") < 10, 0.5).when(F.col("words") > 600, 0.8).otherwise(1.0)
-    return _features(spark, sf_dir).select("doc_id", score.alias("score"))
-
-
 @query(f"SELECT source, doc_id, round(strong + 1.5 * markers + least(chars, 10000) / 10000.0 + 0.3 * exclam, 6) AS quality FROM ({_FEATURES}) QUALIFY row_number() OVER (PARTITION BY source ORDER BY round(strong + 1.5 * markers + least(chars, 10000) / 10000.0 + 0.3 * exclam, 6) DESC, doc_id) <= 400")
 def quality_topk(spark, sf_dir):
     quality = F.round(F.expr("strong + 1.5D * markers + least(chars, 10000) / 10000D + 0.3D * exclam"), 6)

@@ -125,15 +125,6 @@ def regex_counts(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit("[|]")).cast("long").alias("bars"), F.expr("cast(regexp_count(text, '!!') div 2 as bigint)").alias("shouts"))
 
 
-@query(f"""WITH c AS (SELECT doc_id, w, count(*) AS n FROM ({_TOKENS}) WHERE w <> '' GROUP BY 1, 2),
-s AS (SELECT doc_id, CAST(max(n) AS DOUBLE) / sum(n) AS share, sum(n) AS total FROM c GROUP BY doc_id)
-SELECT doc_id, (total >= 15 AND share > 0.5) OR share > 0.7 AS spam, round(share, 6) AS share FROM s""")
-def spam_flag(spark, sf_dir):
-    own = docs(spark, sf_dir).select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
-    by = own.groupBy("doc_id", "w").agg(F.count("*").alias("n")).groupBy("doc_id").agg((F.max("n").cast("double") / F.sum("n")).alias("share"), F.sum("n").alias("total"))
-    return by.select("doc_id", (((F.col("total") >= 15) & (F.col("share") > 0.5)) | (F.col("share") > 0.7)).alias("spam"), F.round("share", 6).alias("share"))
-
-
 @query(f"""WITH c AS (SELECT doc_id, w, count(*) AS n FROM ({_CLEAN}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS rn FROM c)
 SELECT doc_id, string_agg(w || ':' || CAST(n AS VARCHAR), ' ' ORDER BY rn) AS top FROM r WHERE rn <= 5 GROUP BY doc_id""")
 def doc_top_tokens(spark, sf_dir):
@@ -183,31 +174,6 @@ def tfidf_boosted(spark, sf_dir):
     return _tfidf_top(spark, sf_dir, True)
 
 
-#: A neutral example lexicon: term, tier.
-LEXICON = [("idiot", "strong"), ("moron", "strong"), ("scum", "strong"), ("stupid", "medium"), ("loser", "medium"), ("trash", "medium"), ("clown", "mild"), ("pathetic", "mild")]
-_LEX = "(VALUES " + ", ".join(f"('{w}', '{t}')" for w, t in LEXICON) + ") lex(w, tier)"
-
-
-@query(f"""WITH h AS (SELECT doc_id, tier, count(*) AS n FROM ({_TOKENS}) JOIN {_LEX} USING (w) GROUP BY 1, 2), p AS (SELECT doc_id, sum(CASE WHEN tier = 'strong' THEN n ELSE 0 END) AS s, sum(CASE WHEN tier = 'medium' THEN n ELSE 0 END) AS m, sum(CASE WHEN tier = 'mild' THEN n ELSE 0 END) AS l FROM h GROUP BY doc_id)
-SELECT d.doc_id, round(CAST(coalesce(s, 0) * 3 + coalesce(m, 0) * 1.5 + coalesce(l, 0) * 0.4 AS DOUBLE) + CAST(least(length(text) - length(replace(text, '!', '')), 50) AS DOUBLE) * CAST(0.08 AS DOUBLE), 3) AS score FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id""")
-def lexicon_score(spark, sf_dir):
-    lex = F.broadcast(spark.createDataFrame(LEXICON, "w string, tier string"))
-    own = docs(spark, sf_dir).select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).join(lex, "w")
-    weight = F.when(F.col("tier") == "strong", 3.0).when(F.col("tier") == "medium", 1.5).otherwise(0.4)
-    hits = own.groupBy("doc_id").agg(F.sum(weight).alias("hits"))
-    bangs = F.least(F.length("text") - F.length(F.replace("text", F.lit("!"))), F.lit(50)) * 0.08
-    return docs(spark, sf_dir).select("doc_id", bangs.alias("bangs")).join(hits, "doc_id", "left").select("doc_id", F.round(F.coalesce("hits", F.lit(0.0)) + F.col("bangs"), 3).alias("score"))
-
-
-@query(f"""WITH h AS (SELECT doc_id, w, count(*) AS n FROM ({_TOKENS}) JOIN {_LEX} USING (w) GROUP BY 1, 2)
-SELECT doc_id, round(sum(n + 0.5) * (1 + 0.5 * count(*)) * CAST(1 AS DOUBLE), 4) AS severity, count(*) AS variety FROM h GROUP BY doc_id HAVING count(*) >= 2 OR sum(n) >= 6""")
-def variety_score(spark, sf_dir):
-    lex = F.broadcast(spark.createDataFrame(LEXICON, "w string, tier string"))
-    own = docs(spark, sf_dir).select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).join(lex, "w")
-    h = own.groupBy("doc_id", "w").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum(F.col("n") + 0.5).alias("s"), F.sum("n").alias("t"), F.count("*").alias("variety"))
-    return h.where("variety >= 2 or t >= 6").select("doc_id", F.round(F.col("s") * (1 + 0.5 * F.col("variety")), 4).alias("severity"), "variety")
-
-
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_from_text(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))

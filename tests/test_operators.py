@@ -132,3 +132,55 @@ def test_isolation_and_twins_ask_every_vector(spark, tmp_path):
     want = {tuple(sorted((names[i], names[j]))) for i in range(len(rows)) for j in np.argsort(-similar[i])[:7] if labels[i] != labels[j] and 0.3 <= similar[i, j] <= 0.5}
     got = {(r["a"], r["b"]) for r in plans.QUERIES["hidden_twins"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) >= 5 and all(a % 20 and b % 20 for a, b in want)
+
+
+def test_word_stats_and_signals(spark):
+    from tessera.operators import scoring as S
+
+    rows = [(1, "You IDIOT! Stupid, STUPID loser!!", 5), (2, None, 5), (3, "", 4), (4, "don't 123", 5), (5, "word " * 90 + "clown", 1)]
+    own = S.with_word_stats(spark.createDataFrame(rows, "id int, text string, rating int"))
+    got = {r["id"]: r for r in own.withColumn("score", S.lexicon_score()).collect()}
+    assert [got[1][c] for c in ("words", "strong", "medium", "mild", "caps_ratio", "exclam")] == [5, 1, 3, 0, 0.4, 3]
+    assert got[1]["score"] == round(3 + 4.5 + 6 * 0.4 + 0.08 * 3, 3) and got[2]["words"] == got[3]["words"] == 0 and got[4]["words"] == 1
+    top = {(r["signal"], r["id"]): r["score"] for r in S.topk_signals(own.withColumn("g", F.lit("x")), "g", "id", S.signals(), 2).collect()}
+    assert top["short", 1] == 2.0 and top["five_star_obscene", 1] == 6.6 and top["five_star_one_word", 2] == 1.0 and top["rant", 5] == 1.1375
+    assert ("five_star_one_word", 3) not in top and top["exclamation", 1] == 3.0 and abs(top["screaming", 1] - 0.4 * 5**0.5) < 1e-6
+
+
+def test_category_filters(spark):
+    from tessera.operators import scoring as S
+
+    rows = [("a", "a clown fish, you idiot"), ("a", "a clown and an id*t"), ("src2", "trash, I hate this trash"), ("a", "M***** C**** id*t"), ("a", "stupid"), ("a", None)]
+    own = spark.createDataFrame(rows, "g string, text string").withColumn("hits", S.category_hits(F.col("text")))
+    got = [[(h["word"], h["n"]) for h in r["kept"]] for r in own.select(S.filter_hits(F.col("hits"), F.col("text"), F.col("g")).alias("kept")).collect()]
+    assert got == [[("idiot", 1)], [("idiot*", 1)], [], [], [], []]
+    assert [r[0] for r in own.select(S.severity(F.col("hits"))).collect()][:2] == [4.0, 4.0]
+    assert [r[0] for r in own.select(S.context(F.col("text"))).collect()][0] == "deploy"
+
+
+def test_rerank_follows_its_order(spark):
+    from tessera.operators import scoring as S
+
+    hits = F.array(F.struct(F.lit("insult").alias("category"), F.lit("idiot").alias("word"), F.lit(2).alias("n")))
+    score = lambda **x: spark.range(1).select(S.rerank(hits, F.lit(x.get("text", "")), F.lit(x.get("context", "deploy")), F.lit(x.get("group", "g")), F.lit(x.get("rating", 3)), F.lit(x.get("words", 50)), F.lit(0.1), F.lit(2))).first()[0]
+    assert score() == 50 * 1.5 + 1 + 0.3 and score(group="src2") == 75 * 1.4 + 4 + 1.3 and score(group="src1") == round(75 * 0.6 + 1.3, 3)
+    assert score(rating=1) == round(75 * 1.15 + 8 + 1.3, 3) and score(words=5) == round(76.3 / 2, 3) and score(text="a novel, broken") == round(75 * 0.3 + 1.4 + 1.3, 3)
+
+
+def test_spam(spark):
+    from tessera.operators import scoring as S
+
+    rows = ["", None, "no no", "crap crap crap", "a b c d", "x " * 8 + "a b c d e f g", " ".join(f"part {i % 3} of one long line;" for i in range(20))]
+    got = spark.createDataFrame([(x,) for x in rows], "t string").select(S.is_spam(F.col("t")), S.is_spam(F.col("t"), True)).collect()
+    assert [r[0] for r in got] == [True, True, False, True, False, True, False] and got[-1][1] and not got[4][1]
+
+
+def test_funnel(spark):
+    from tessera.operators import scoring as S
+
+    scored = spark.createDataFrame([(i, float(i % 4)) for i in range(40)], "id int, score double")
+    vectors = spark.createDataFrame([(i, [float(i % 4), 1.0]) for i in range(40)], "id int, v array<double>")
+    got = S.funnel(scored, vectors, "id", "v", first=30, clusters=3, last=12).collect()
+    assert len(got) == 12 and [r["combined"] for r in got] == sorted((r["combined"] for r in got), reverse=True)
+    assert {r["cluster_rank"] for r in got} <= {1, 2, 3} and all(abs(r["combined"] - r["score"] + 0.1 * r["cluster_rank"]) < 1e-9 for r in got)
+    assert S.funnel(scored.where("false"), vectors, "id", "v").count() == 0
