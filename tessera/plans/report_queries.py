@@ -27,7 +27,7 @@ def _split(df):
 def _hits(spark, sf_dir):
     """(doc_id, source, category, place, w, weight, n): occurrences of each keyword; only keywords leave the scan."""
     listed = spark.createDataFrame([(c, i, w, x) for i, (c, own) in enumerate(CATEGORIES.items()) for w, x in own], "category string, place int, w string, weight double")
-    found = _split(table(spark, sf_dir, "documents")).select("doc_id", "source", F.explode("ws").alias("w"))
+    found = _split(table(spark, sf_dir, "documents")).select("doc_id", "source", F.explode_outer("ws").alias("w"))
     return found.join(F.broadcast(listed), "w").groupBy("doc_id", "source", "category", "place", "w", "weight").agg(F.count("*").alias("n"))
 
 
@@ -61,7 +61,7 @@ _TERM = f"SELECT source, w, count(DISTINCT doc_id) AS docs FROM ({_WORDS}) WHERE
 def dominant_term(spark, sf_dir):
     """The word that most documents of a source hold, and the share that does."""
     found = _split(table(spark, sf_dir, "documents"))
-    term = found.select("source", "doc_id", F.explode(F.array_distinct("ws")).alias("w")).where("length(w) >= 5").groupBy("source", "w").agg(F.countDistinct("doc_id").alias("docs"))
+    term = found.select("source", "doc_id", F.explode_outer(F.array_distinct("ws")).alias("w")).where("length(w) >= 5").groupBy("source", "w").agg(F.countDistinct("doc_id").alias("docs"))
     best = term.groupBy("source").agg(F.min_by("w", F.struct(-F.col("docs"), F.col("w"))).alias("term"), F.max("docs").alias("docs"))
     total = found.groupBy("source").agg(F.countDistinct("doc_id").alias("all"))
     return best.join(total, "source").select("source", "term", "docs", F.round(F.col("docs") / F.col("all"), 6).alias("share"))

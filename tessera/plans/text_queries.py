@@ -19,7 +19,8 @@ def docs(spark, sf_dir):
 
 
 def words(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", "source", "lang", F.explode(T.tokens(F.col("text"), STOP)).alias("w"))
+    """One row a cleaned token. An inner explode would have Spark cut up each text once more, to see whether it has any token."""
+    return docs(spark, sf_dir).select("doc_id", "source", "lang", F.explode_outer(T.tokens(F.col("text"), STOP)).alias("w")).where("w is not null")
 
 
 @query(r"""SELECT event_id, TRY_CAST(CASE WHEN regexp_matches(b, '^[+-]?[0-9]*\.?[0-9]+$') THEN b END AS DOUBLE) AS price FROM

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import json
+import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +91,91 @@ def once(spark: SparkSession, path: str, inputs: dict, build, force: bool = Fals
 def months(start: Column, stop: Column) -> Column:
     """The first days of all months from start to stop."""
     return F.explode(F.sequence(F.trunc(start, "month"), F.trunc(stop, "month"), F.expr("interval 1 month")))
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """Append rows as JSON lines; for results that come in parts, streams included (foreachBatch)."""
+    df.write.mode("append").json(path)
+
+
+def put_objects(objects: DataFrame, base: str, name: str = "name", data: str = "data") -> DataFrame:
+    """Write each row's bytes as a file of its own below `base` (any file system that Arrow knows): name, ok, error.
+
+    A task that runs again overwrites what it wrote. An object that can't be written is a row with its error."""
+
+    def put(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(base)
+        for page in pages:
+            rows = []
+            for key, body in zip(page["name"], page["data"], strict=True):
+                try:
+                    store.create_dir(f"{root}/{key}".rpartition("/")[0], recursive=True)
+                    with store.open_output_stream(f"{root}/{key}") as out:
+                        out.write(body)
+                    rows.append((key, True, None))
+                except Exception as e:
+                    rows.append((key, False, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["name", "ok", "error"])
+
+    return objects.select(F.col(name).alias("name"), F.col(data).alias("data")).mapInPandas(put, "name string, ok boolean, error string")
+
+
+def guarded(df: DataFrame, most_bytes: int) -> DataFrame:
+    """df if the optimiser expects it to read at most so many bytes, else an error before anything is read."""
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if expected > most_bytes:
+        raise RuntimeError(f"the query would read about {expected} bytes; the limit is {most_bytes}")
+    return df
+
+
+def first_available(builders: list[Callable[[], DataFrame]]) -> DataFrame:
+    """The first source that can be read and has rows; the last error if none can, the last empty source if all are empty."""
+    found, error = None, None
+    for build in builders:
+        try:
+            found = build()
+            if not found.isEmpty():
+                return found
+        except Exception as e:
+            error = e
+    if found is None and error is not None:
+        raise error
+    return found
+
+
+def saved(spark: SparkSession, base: str, job: str) -> DataFrame:
+    """The result table that a finished job left under its id; a job without one raises."""
+    return spark.read.parquet(f"{base}/{job}")
+
+
+class Patcher:
+    """Replaces pieces of a page by patterns; a required pattern that isn't found raises, so no page is half updated."""
+
+    def __init__(self, page: str):
+        self.page, self.hits = page, {}
+
+    def replace(self, label: str, pattern: str, replacement: str, count: int = 1, required: bool = True) -> Patcher:
+        page, n = re.subn(pattern, replacement, self.page, count=count)
+        self.hits[label] = n
+        if required and not n:
+            raise ValueError(f"{label}: {pattern!r} isn't in the page")
+        self.page = page
+        return self
+
+
+def to_pieces(data: bytes, size: int) -> list[str]:
+    """Gzip, base64, and cut into pieces of at most `size` characters."""
+    text = base64.b64encode(gzip.compress(data, mtime=0)).decode()
+    return [text[i : i + size] for i in range(0, len(text), size)]
+
+
+def from_pieces(pieces: list[str]) -> bytes:
+    return gzip.decompress(base64.b64decode("".join(pieces)))
+
+
+def gate(found: DataFrame, passes) -> tuple[DataFrame, DataFrame]:
+    """Rows that pass a check, and all others, null results among them."""
+    good = F.coalesce(passes, F.lit(False))
+    return found.where(good), found.where(~good)

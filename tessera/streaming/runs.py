@@ -37,3 +37,17 @@ def drain(result: DataFrame, name: str, checkpoint: str, mode: str = "complete",
     query = result.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination(timeout)
     return result.sparkSession.table(name)
+
+
+def snapshots(result: DataFrame, path: str, checkpoint: str, every: int = 1, timeout: float = 120) -> None:
+    """Run a streaming aggregate over all that is there; after every `every` batches the rows so far are written to the folder
+    batch=N below path. A batch that is run again overwrites its own folder."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        if (batch + 1) % every == 0:
+            rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        else:
+            rows.write.format("noop").mode("overwrite").save()  # the state moves on only if the batch is computed
+
+    query = result.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination(timeout)
