@@ -22,6 +22,11 @@ def _list(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
+def _same(keys: Sequence[str], other: str) -> Column:
+    """Are the keys, nulls included, those of columns other0, other1, ...?"""
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{other}{i}")) for i, k in enumerate(keys)], F.lit(True))
+
+
 def topk_per_group(df: DataFrame, keys: str | Sequence[str], order: Order, k: int, place: str | None = None) -> DataFrame:
     """The k first rows of each key (null is a key), with their place from 1 if a name for it is given."""
     at = place or "__place"
@@ -185,3 +190,45 @@ def sessions(df: DataFrame, key: str, ts: str, tie: str, gap: str) -> DataFrame:
     fresh = F.when(F.col(ts) - F.lag(ts).over(by) <= F.expr(f"interval {gap}"), 0).otherwise(1)
     own = df.select(key, ts, tie, fresh.alias("__fresh")).withColumn("__session", F.sum("__fresh").over(by.rowsBetween(W.unboundedPreceding, 0)))
     return own.groupBy(key, "__session").agg(F.min(ts).alias("started"), F.count("*").alias("n")).drop("__session")
+
+
+def quantiles(df: DataFrame, keys: str | Sequence[str], value: str, shares: Sequence[float | str], names: Sequence[str], about: DataFrame | None = None) -> DataFrame:
+    """keys and exact quantiles of a value's rows that aren't null, interpolated between neighbours; no key's values meet in one
+    task. A share may be the name of a column of about(keys, ...), so that each key has its own.
+
+    Values are first counted, so that equal ones are combined before they move; the counts are sorted by ranges, each range
+    adds up its own, and a key's ranges are moved up by what lies before them. So a value knows its ranks and whether a
+    wanted one is among them. The sorted counts are kept on disk while they are used.
+    """
+    keys = _list(keys)
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    own = n.orderBy(*keys, "__v").withColumn("__part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    part = own.groupBy(*keys, "__part").agg(F.sum("__n").alias("__all"))  # a row a key and range
+    by = W.partitionBy(*keys)
+    part = part.withColumn("__before", F.coalesce(F.sum("__all").over(by.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("__total", F.sum("__all").over(by))
+    part = part.select(*[F.col(k).alias(f"__p{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), "__before", "__total")
+    at = own.join(part, _same(keys, "__p") & (F.col("__part") == F.col("__p")))
+    upto = F.sum("__n").over(W.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
+    at = at.withColumn("__stop", F.col("__before") + upto).withColumn("__start", F.col("__stop") - F.col("__n"))
+    if about is not None:
+        own_key = about.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in about.columns if c not in keys])
+        at = at.join(own_key, _same(keys, "__k"))
+    aggs = []
+    for k, share in enumerate(shares):
+        place = (F.col(share) if isinstance(share, str) else F.lit(float(share))) * (F.col("__total") - 1)
+        held = lambda rank: F.max(F.when((F.col("__start") <= rank) & (rank < F.col("__stop")), F.col("__v")))
+        aggs += [held(F.floor(place)).alias(f"__low{k}"), held(F.ceil(place)).alias(f"__high{k}"), F.max(place - F.floor(place)).alias(f"__f{k}")]
+    out = at.groupBy(*keys).agg(*aggs) if keys else at.agg(*aggs)
+    between = lambda k: F.col(f"__low{k}") + F.col(f"__f{k}") * (F.col(f"__high{k}") - F.col(f"__low{k}"))
+    return out.select(*keys, *[between(k).alias(name) for k, name in enumerate(names)])
+
+
+def ntile(df: DataFrame, keys: str | Sequence[str], order: Order, n: int, name: str = "tile") -> DataFrame:
+    """df with the tile 1 to n of each row within its key, the first tiles taking one row more where they can't be equal; a
+    key's rows needn't meet in one task."""
+    keys = _list(keys)
+    places = numbered(df, [*keys, *order], "__at")
+    ends = places.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    at, size, more = F.col("__at") - F.col("__first"), F.floor(F.col("__n") / n), F.col("__n") % n
+    tile = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return places.join(ends, _same(keys, "__k")).select(*df.columns, (tile + 1).cast("long").alias(name))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
+from ..operators import relational as R
 from ..operators import series as S
 from ..operators import stats as X
 from ..operators import vectors as V
@@ -155,19 +156,22 @@ _EDGES = "SELECT quantile_cont(n_chars, [0.25, 0.5, 0.75]) AS e FROM documents"
 @query(f"SELECT doc_id, CASE WHEN n_chars <= e[1] THEN 'q1' WHEN n_chars <= e[2] THEN 'q2' WHEN n_chars <= e[3] THEN 'q3' ELSE 'q4' END AS bucket FROM documents, ({_EDGES})")
 def quantile_bucket(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    edges = own.select(F.percentile("n_chars", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e"))
+    edges = R.quantiles(own, [], "n_chars", (0.25, 0.5, 0.75), ("a", "b", "c")).select(F.array_distinct(F.array("a", "b", "c")).alias("e"))
     return own.crossJoin(F.broadcast(edges)).select("doc_id", X.quantile_bucket(F.col("n_chars"), F.col("e"), ("q1", "q2", "q3", "q4")).alias("bucket"))
 
 
 @query("SELECT event_type, " + ", ".join(f"round(quantile_cont(value, {p / 100}), 4) AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM events GROUP BY event_type")
 def percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", F.lit(p / 100)), 4).alias(f"p{p}") for p in (5, 25, 50, 75, 95)])
+    at = (5, 25, 50, 75, 95)
+    found = R.quantiles(table(spark, sf_dir, "events"), "event_type", "value", [p / 100 for p in at], [f"p{p}" for p in at])
+    return found.select("event_type", *[F.round(f"p{p}", 4).alias(f"p{p}") for p in at])
 
 
 @query("SELECT count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, min(value) AS lo, round(quantile_cont(value, 0.5), 4) AS mid, max(value) AS hi FROM events")
 def describe_stats(spark, sf_dir):
-    v = "value"
-    return table(spark, sf_dir, "events").agg(F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.min(v).alias("lo"), F.round(F.percentile(v, F.lit(0.5)), 4).alias("mid"), F.max(v).alias("hi"))
+    v, own = "value", table(spark, sf_dir, "events")
+    rest = own.agg(F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    return rest.crossJoin(R.quantiles(own, [], v, [0.5], ["mid"]).select(F.round("mid", 4).alias("mid"))).select("n", "mean", "std", "lo", "mid", "hi")
 
 
 @query()

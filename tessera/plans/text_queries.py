@@ -155,8 +155,9 @@ SELECT source, w, round(score, 6) AS score FROM r WHERE rn <= 15"""
 
 def _tfidf_top(spark, sf_dir, boost):
     c = words(spark, sf_dir).groupBy("source", "w").agg(F.count("*").alias("n"))
-    c = c.withColumn("total", F.sum("n").over(W.partitionBy("source")))
-    groups = c.select(F.count_distinct("source").alias("groups"))
+    total = c.groupBy("source").agg(F.sum("n").alias("total"))  # a row a source
+    groups = total.agg(F.count("*").alias("groups"))
+    c = c.join(F.broadcast(total), "source")
     df = c.groupBy("w").agg(F.count("*").alias("df"))
     idf = F.log((F.col("groups") + 1) / (F.col("df") + 1).cast("double")) + 1
     score = F.col("n").cast("double") / F.col("total") * idf

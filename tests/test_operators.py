@@ -42,6 +42,18 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     assert a == b and all(r["ci_low"] <= r["median"] <= r["ci_high"] for r in a)
 
 
+def test_bootstrap_meets_resampling(spark):
+    """The interval by ranks against a plain bootstrap of the rows."""
+    rng = np.random.default_rng(1)
+    rows = [("even", float(x)) for x in rng.normal(size=300)] + [("odd", float(x)) for x in rng.exponential(size=201)] + [("few", 3.0)] * 3 + [("none", None)]
+    got = {r["bucket"]: r for r in stats.bootstrap_ci(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    for name in ("even", "odd"):
+        v = np.array([x for g, x in rows if g == name])
+        plain = np.percentile(np.median(v[rng.integers(0, len(v), (4000, len(v)))], axis=1), (2.5, 97.5))
+        assert np.allclose([got[name]["ci_low"], got[name]["ci_high"]], plain, atol=0.06) and got[name]["median"] == np.median(v)
+    assert got["few"]["ci_low"] == got["few"]["ci_high"] == 3.0 and got["none"]["n"] == 0 and got["none"]["median"] is None
+
+
 def test_verdicts(spark):
     kind = "bucket string, n long, ci_low double, ci_high double"
     apart = [("a", 200, 0.0, 1.0), ("b", 200, 2.0, 3.0)]

@@ -94,3 +94,31 @@ def test_sessions(spark):
     rows = [("u", "2024-01-01 00:00:00", 1), ("u", "2024-01-01 00:30:00", 2), ("u", "2024-01-01 01:00:01", 3), ("v", "2024-01-01 00:00:00", 4)]
     own = spark.createDataFrame(rows, "u string, s string, id int").withColumn("ts", F.col("s").cast("timestamp"))
     assert sorted((r["u"], r["n"]) for r in R.sessions(own, "u", "ts", "id", "30 minutes").collect()) == [("u", 1), ("u", 2), ("v", 1)]
+
+
+def test_quantiles(spark):
+    """Against numpy: hot values, ties, one row, nulls, few keys over many ranges, a share of its own for each key."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    rows = [("hot", rng.choice([1.0, 2.0, 2.0, 9.5])) for _ in range(3000)] + [("wide", rng.random()) for _ in range(2001)] + [("one", 4.0), ("none", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(8)
+    shares = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    found = {r["k"]: list(r)[1:] for r in R.quantiles(df, "k", "x", shares, [f"q{i}" for i in range(6)]).collect()}
+    for key in ("hot", "wide", "one", None):
+        assert np.allclose(found[key], np.quantile([x for k, x in rows if k == key and x is not None], shares))
+    assert "none" not in found and np.allclose(list(R.quantiles(df, [], "x", [0.3], ["q"]).first()), np.quantile([x for _, x in rows if x is not None], 0.3))
+    own = spark.createDataFrame([("hot", 0.2), ("wide", 0.7)], "k string, s double")
+    got = {r["k"]: r["q"] for r in R.quantiles(df, "k", "x", ["s"], ["q"], own).collect()}
+    assert all(abs(got[k] - np.quantile([x for j, x in rows if j == k], s)) < 1e-9 for k, s in (("hot", 0.2), ("wide", 0.7)))
+    assert R.quantiles(df.where("false"), "k", "x", [0.5], ["q"]).count() == 0
+
+
+def test_tiles(spark):
+    from pyspark.sql import Window as W
+
+    df = spark.range(0, 1003, 1, 6).select("id", (F.col("id") % 3).alias("k"), (F.col("id") * 37 % 101).alias("v")).unionByName(spark.createDataFrame([(-1, None, 5), (-2, None, 6)], "id long, k long, v long"))
+    want = df.select("id", F.ntile(4).over(W.partitionBy("k").orderBy("v", "id")).alias("t"))
+    assert got(R.ntile(df, "k", ["v", "id"], 4, "t").select("id", "t")) == got(want)
