@@ -133,18 +133,42 @@ def weight_search(spark: SparkSession, fields: list[np.ndarray], winners: list[i
     return found.orderBy(F.desc("points"), "chunk", "place").limit(keep).select("weights", "points")
 
 
-def permutation_null(spark: SparkSession, fields: list[np.ndarray], winners: list[int], n: int = 200, weights: int = 200, seed: int = 11) -> DataFrame:
-    """(n, observed, null_mean, p_value): does the best search result beat that of shuffled winners?"""
+def fields(rows: DataFrame, group: str, key: str, factors: list[str], size_by: str, won_by: str, size: int) -> tuple[list[np.ndarray], list[int]]:
+    """Of each group the `size` rows with the largest size_by (ties by key), their factors scaled to 0..1 within the group, and
+    the number of the row with the largest won_by. The driver gets `size` rows a group."""
+    from .relational import topk_per_group
+
+    got = topk_per_group(rows, group, [F.desc(size_by), key], size).select(group, key, *factors, won_by).orderBy(group, key).collect()
+    out, winners = [], []
+    for name in dict.fromkeys(r[group] for r in got):
+        own = [r for r in got if r[group] == name]
+        x = np.array([[float(r[f]) for f in factors] for r in own])
+        low, spread = x.min(0), x.max(0) - x.min(0)
+        out.append(np.where(spread > 0, (x - low) / np.where(spread > 0, spread, 1), 0.5))
+        winners.append(max(range(len(own)), key=lambda i: own[i][won_by]))
+    return out, winners
+
+
+def permutation_null(spark: SparkSession, fields: list[np.ndarray], winners: list[int], n: int = 2000, weights: int = 5000, seed: int = 11) -> DataFrame:
+    """(n, observed, null_mean, p_value, expected): does the best of `weights` searches beat that of shuffled winners?
+
+    Every row's points under every weighting are found once; a permutation only picks the rows that count as winners.
+    expected is the mean of a single weighting under random winners."""
     w = np.random.default_rng(seed).dirichlet(np.ones(fields[0].shape[1]), weights)
-    observed = float(points_of(w, fields, winners).max())
+    worth = []  # of each field: weightings x rows
+    for field in fields:
+        place = np.argsort(np.argsort(-(w @ field.T), axis=1, kind="stable"), axis=1, kind="stable")
+        worth.append(np.where(place < 4, POINTS[np.minimum(place, 3)], 0).astype(np.float32))
+    observed = float(sum(p[:, k] for p, k in zip(worth, winners, strict=True)).max())
 
     def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
             out = []
             for k in page["id"]:
                 rng = np.random.default_rng(seed + 1 + int(k))
-                out.append(points_of(w, fields, [int(rng.integers(len(f))) for f in fields]).max())
+                out.append(float(sum(p[:, rng.integers(p.shape[1])] for p in worth).max()))
             yield pd.DataFrame({"best": out})
 
     null = spark.range(n).mapInPandas(run, "best double")
-    return null.agg(F.count("*").alias("n"), F.lit(observed).alias("observed"), F.avg("best").alias("null_mean"), F.avg((F.col("best") >= observed).cast("double")).alias("p_value"))
+    expected = float(sum(POINTS[: len(f)].sum() / len(f) for f in fields))
+    return null.agg(F.count("*").alias("n"), F.lit(observed).alias("observed"), F.avg("best").alias("null_mean"), F.avg((F.col("best") >= observed).cast("double")).alias("p_value"), F.lit(expected).alias("expected"))

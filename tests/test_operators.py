@@ -196,3 +196,40 @@ def test_funnel(spark):
     assert len(got) == 12 and [r["combined"] for r in got] == sorted((r["combined"] for r in got), reverse=True)
     assert {r["cluster_rank"] for r in got} <= {1, 2, 3} and all(abs(r["combined"] - r["score"] + 0.1 * r["cluster_rank"]) < 1e-9 for r in got)
     assert S.funnel(scored.where("false"), vectors, "id", "v").count() == 0
+
+
+def test_trees_and_models():
+    from tessera.operators import models as M
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(int)
+    half = np.arange(600) < 400
+    loss = lambda p: float(-np.log(np.clip(np.where(y[~half] == 1, p, 1 - p), 1e-6, 1)).mean())
+    for setting, least in (({"model": "gbm", "trees": 100, "depth": 3, "rate": 0.1, "share": 0.9}, 0.3), ({"model": "rf", "trees": 60, "columns": "sqrt", "depth": None}, 0.45)):
+        assert loss(M.fit_predict(setting, x[half], y[half], x[~half])) < least
+    z = (x[:, 2] + 0.2 * rng.normal(size=600) > 0).astype(int)
+    for penalty in ("l1", "l2"):
+        p = M.fit_predict({"model": "logreg", "c": 100.0, "penalty": penalty, "solver": "full"}, x[half], z[half], x[~half])
+        assert ((p > 0.5) == z[~half]).mean() > 0.88
+    tree = M.grow(M.binned(x, [np.array([0.0])] * 3), np.where(x[:, 0] > 0, -1.0, 1.0), np.ones(600), 1, 3, rng)
+    assert tree["column"][0] == 0 and len(M.grid()) == 164
+    assert (M.fit_predict(M.grid()[0], x[:3], np.ones(3, int), x[:5]) == 1).all()
+
+
+def test_grid(spark):
+    from tessera.operators import models as M
+
+    rows = spark.range(800).select("id", (F.col("id") % 17 / 17).alias("a"), (F.col("id") % 5).alias("b")).withColumn("label", (F.col("a") > 0.5).cast("int"))
+    settings = [M.grid()[i] for i in (0, 110, 150)]
+    found, ensemble = M.run_grid(rows, "id", ["a", "b"], "label", F.col("id") % 4 == 0, settings, most=200, best=2)
+    losses = [r["log_loss"] for r in found.orderBy("log_loss").collect()]
+    assert len(losses) == 3 and losses[0] < 0.2 and ensemble.count() == 200 and ensemble.where("(p > 0.5) <> (label = 1)").count() == 0
+
+
+def test_fields_and_null(spark):
+    rows = [(g, k, float(k * (g + 1)), 1.0, (g * 7 + k) % 5) for g in range(3) for k in range(9)]
+    found, winners = stats.fields(spark.createDataFrame(rows, "g int, k int, a double, b double, w int"), "g", "k", ["a", "b"], "a", "w", 6)
+    assert [f.shape for f in found] == [(6, 2)] * 3 and all(f[:, 0].min() == 0 and f[:, 0].max() == 1 and (f[:, 1] == 0.5).all() for f in found)
+    null = stats.permutation_null(spark, found, winners, n=300, weights=50).first()
+    assert null["n"] == 300 and 0 <= null["p_value"] <= 1 and null["expected"] == 9.0 and null["null_mean"] >= null["expected"] - 1
