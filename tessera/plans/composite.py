@@ -98,6 +98,13 @@ _KNN_ALL = """WITH p AS (SELECT a.vec_id, b.vec_id AS neighbour, list_cosine_sim
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour) AS place FROM p)"""
 
 
+@query()
+def knn_inverted(spark, sf_dir):
+    """knn_topk by an inverted file: not exact, and its recall is tested."""
+    own = table(spark, sf_dir, "embeddings")
+    return V.knn_inverted(own, own.where("vec_id % 20 = 0"), 5).select("vec_id", "neighbour", F.col("place").cast("long").alias("place"), F.round("similarity", 6).alias("sim"))
+
+
 @query(_KNN_ALL + " SELECT vec_id, round(s, 6) AS sim FROM r WHERE place = 5 ORDER BY s, vec_id LIMIT 24")
 def knn_isolation(spark, sf_dir):
     """The 24 loneliest of all vectors."""

@@ -233,3 +233,21 @@ def test_fields_and_null(spark):
     assert [f.shape for f in found] == [(6, 2)] * 3 and all(f[:, 0].min() == 0 and f[:, 0].max() == 1 and (f[:, 1] == 0.5).all() for f in found)
     null = stats.permutation_null(spark, found, winners, n=300, weights=50).first()
     assert null["n"] == 300 and 0 <= null["p_value"] <= 1 and null["expected"] == 9.0 and null["null_mean"] >= null["expected"] - 1
+
+
+def test_inverted_file(spark, small):
+    """All rows are indexed, hot cells are split, and at least nine of ten exact neighbours are found."""
+    own = spark.read.parquet(f"{small}/embeddings.parquet")
+    some = own.where("vec_id % 20 = 0")
+    exact = vectors.knn(own, some, 5)
+    assert vectors.recall(vectors.knn_inverted(own, some, 5), exact) >= 0.9
+    everything = vectors.knn_inverted(own, some, 5, cells=4, probes=4, group=7)
+    assert sorted(map(tuple, everything.collect())) == sorted(map(tuple, exact.collect()))
+    assert vectors.knn_inverted(own.where("false"), some, 5).count() == 0 == vectors.knn_inverted(own, some.where("false"), 5).count()
+
+
+def test_inverted_file_recall(spark):
+    """The given vectors of a larger table, without a fixed cell number."""
+    own = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    some = own.where("vec_id % 20 = 0")
+    assert vectors.recall(vectors.knn_inverted(own, some, 5), vectors.knn(own, some, 5)) >= 0.9
