@@ -83,7 +83,8 @@ def blocklist(df: DataFrame, blocked: DataFrame, on: Sequence[tuple[str, str]])
 
 def numbered(df: DataFrame, order: Order, name: str = "place") -> DataFrame:
     """All rows with their place from 1 in an order, without bringing them to one task: rows are dealt by ranges and sorted,
-    and each range is moved up by the number of rows before it. The sorted rows are kept on disk while they are used."""
+    and each range is moved up by the number of rows before it. The sorted rows are kept on disk, so that both reads see the
+    same ranges, until spark.catalog.clearCache(); what an executor loses is computed again."""
     own = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
     part = F.shiftright("__id", 33)
     counts = own.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))

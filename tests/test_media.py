@@ -90,3 +90,23 @@ def test_fetching(spark):
 
     got = {r["url"]: (r["status"], r["body"]) for r in fanout.fetch(spark.createDataFrame([(u,) for u in "abcx"], "url string"), get, 2, sleep=lambda s: None).collect()}
     assert got == {"a": ("ok", "page"), "b": ("not_found", None), "c": ("server_error", None), "x": ("exception: OSError", None)}
+
+
+def test_canary(spark):
+    def work(task):
+        if task["id"] % 4 == 0:
+            raise ValueError
+        return {"y": task["id"]}
+
+    assert 0.5 < fanout.canary(spark.range(400), work, "y long", 0.5, 0.5, "id") < 1
+    with pytest.raises(RuntimeError):
+        fanout.canary(spark.range(400), work, "y long", 0.5, 0.95, "id")
+
+
+def test_rate_limit(spark):
+    """Two partitions that share 20 a second take at least 0.1 s a task each."""
+    import time
+
+    began = time.time()
+    assert fanout.parallel_map(spark.range(8), lambda t: {"y": t["id"]}, "y long", max_parallelism=2, per_second=20).count() == 8
+    assert time.time() - began >= 0.3

@@ -119,3 +119,38 @@ def test_running_snapshots(spark, tmp_path):
     runs.snapshots(runs.running_totals(stream), str(tmp_path / "snap"), str(tmp_path / "ck"), every=2)
     got = [(r["batch"], r["n"]) for r in spark.read.parquet(str(tmp_path / "snap")).orderBy("batch").collect()]
     assert [b for b, _ in got] == [1, 3] and got[0][1] < got[1][1] == 10
+
+
+def test_plain_readers(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.csv.gz").write_bytes(gzip.compress(b"id,v\n1,x\nbad,y\n3,z\n"))
+    (tmp_path / "b.txt").write_text("one\n\n  two  \n")
+    (tmp_path / "c.jsonl.gz").write_bytes(gzip.compress(b'{"a": 1}\n\n{"a": 2}\n'))
+    assert [r["id"] for r in io.read_csv(spark, str(tmp_path / "a.csv.gz"), "id int, v string").collect()] == [1, 3]
+    assert [r["id"] for r in io.lookup(spark.read.csv(str(tmp_path / "a.csv.gz"), header=True), "id").collect()] == [1, 3]
+    assert sorted(r["line"] for r in io.read_lines(spark, str(tmp_path / "b.txt")).collect()) == ["one", "two"]
+    assert sorted(r["a"] for r in io.read_jsonl(spark, str(tmp_path / "c.jsonl.gz"), "a int").collect()) == [1, 2]
+    assert bytes(io.read_binary(spark, str(tmp_path), "b.txt").first()["content"]) == b"one\n\n  two  \n"
+    io.write_csv(spark.createDataFrame([(1, "a,b"), (2, None)], "id int, v string"), str(tmp_path / "out"))
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "out"), header=True, schema="id int, v string").collect())) == [(1, "a,b"), (2, None)]
+    io.write_documents(spark.createDataFrame([("k1", 1), ("k2", 2)], "k string, x int"), str(tmp_path / "docs"), "k")
+    assert json.loads(spark.read.text(str(tmp_path / "docs" / "k=k2")).first()[0]) == {"k": "k2", "x": 2}
+    assert io.keep_existing(spark.range(1).withColumn("v", F.lit(1)), ["v", "w"]).columns == ["v"]
+
+
+def test_event_time_streams(spark, tmp_path):
+    """Deliveries that are repeated count once; windows and sessions hold what a batch query finds."""
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i % 40, start + datetime.timedelta(minutes=7 * (i % 40)), i % 3, "a", 1.0) for i in range(60)]
+    kind = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+    once = runs.deduplicated(stream(), "event_id", "ts", "1 day")
+    assert runs.drain(once, "once", str(tmp_path / "c1"), "append").count() == 40
+    found = runs.drain(runs.windowed(stream()), "windows", str(tmp_path / "c2"), "complete")
+    assert found.agg(F.sum("n")).first()[0] == 60 and found.count() == 5
+    found = runs.drain(runs.sessions(stream(), "10 minutes"), "sessions", str(tmp_path / "c3"), "complete")
+    assert found.agg(F.sum("n")).first()[0] == 60
