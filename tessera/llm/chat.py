@@ -60,7 +60,7 @@ def expand(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     )
     last = F.size("answers") - 1
     picks = F.filter(F.sequence(F.lit(0), last), lambda i: F.get("answers", i) | (i == last))
-    one = ready.select("conv_id", "lines", F.explode(picks).alias("at"), "answers")
+    one = ready.select("conv_id", "lines", F.explode_outer(picks).alias("at"), "answers")
     line = F.get("lines", F.col("at"))
     before = F.array_join(F.transform(F.slice("lines", F.lit(1), F.col("at")), lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))), "")
     trained = F.get("answers", F.col("at"))
