@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import col
 
-HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)"
+HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[]*?)\.?(?:[/:?#]|$)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)"
 RANK = {"prefix": 3, "host": 2, "domain": 1}
 
@@ -56,7 +56,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url:
         F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: entry("prefix", F.concat("host", F.array_join(F.slice(parts, F.lit(1), i + 1), "/"))))
     )
     keys = F.concat(F.array(entry("host", F.col("host")), entry("prefix", F.col("host"))), domains, prefixes)
-    tried = base.select("rid", "key", "fetched_at", "host", F.explode(F.array_distinct(keys)).alias("k")).select("rid", "key", "fetched_at", "host", "k.kind", "k.value")
+    tried = base.select("rid", "key", "fetched_at", "host", F.explode_outer(F.array_distinct(keys)).alias("k")).select("rid", "key", "fetched_at", "host", "k.kind", "k.value")
     met = tried.alias("t").join(held.alias("h"), (F.col("t.kind") == F.col("h.kind")) & (F.col("t.value") == F.col("h.value")) & (F.col("t.fetched_at") >= F.col("h.since")) & (F.col("h.until").isNull() | (F.col("t.fetched_at") < F.col("h.until"))), "left")
     rank = F.create_map(*[x for k, v in RANK.items() for x in (F.lit(k), F.lit(v))])[F.col("h.kind")]
     best = F.max(F.when(F.col("h.action").isNotNull(), F.struct(rank.alias("rank"), F.length("h.value").alias("size"), F.col("h.kind").alias("kind"), F.col("h.value").alias("value"), F.col("h.action").alias("action"), F.col("h.since").alias("since"))))
@@ -88,7 +88,8 @@ def op10_url_filter(spark, sf_dir: str) -> DataFrame:
     """Every page as of its fetch time: the tables give none, so page n counts as fetched on day n mod 366 of 2024."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     pages = pages.withColumn("fetched_at", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id"), F.lit(366)).cast("int")))
-    entries = spark.createDataFrame(ENTRIES, "kind string, value string, action string, dated string").withColumn("dated", F.to_date("dated"))
+    names = ("kind", "value", "action", "dated")
+    entries = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, e, strict=True)]) for e in ENTRIES]))).withColumn("dated", F.to_date("dated"))
     out = evaluate(pages, entries)
     return out.withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd")).withColumn("since", F.date_format("since", "yyyy-MM-dd"))
 
