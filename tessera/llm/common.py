@@ -113,6 +113,19 @@ def sampled(key: Column, share: float | Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < least
 
 
+def texts_within(docs: DataFrame, rows: DataFrame, seed: int, max_bytes: int) -> DataFrame:
+    """doc_id, label, text of docs(doc_id, text) for a bounded table rows(doc_id, label): one text an id (the smallest), null
+    texts aside. Documents are taken in the order of hashes as long as their bytes add up to max_bytes at most; the others
+    are left out whole. Only ids and sizes of the rows come to the driver."""
+    own = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    place = F.xxhash64("doc_id", F.lit(seed)).alias("place")
+    size = own.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "label").agg(F.max(F.octet_length("text")).alias("size"), place).toPandas()
+    size = size.sort_values(["place", "doc_id"])
+    chosen = size[size["size"].cumsum() <= max_bytes][["doc_id", "label"]]
+    few = docs.sparkSession.createDataFrame(list(chosen.itertuples(index=False, name=None)), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, label int")
+    return own.join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
 # -- vectorised hashing of many texts at once ------------------------------------------------------------------------
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)

@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import ascii_space, by_size, col, fold, mix, runs, salt, sampled, span_hashes
+from .common import ascii_space, by_size, col, fold, mix, runs, salt, sampled, span_hashes, texts_within
 
 BUCKETS = 1 << 17
 DIM = 16
 EPOCHS = 6
 SEED = 907
 MAX_TRAIN = 4_000  # labelled documents, by expectation, that the embeddings are learned from
+MAX_BYTES = 64 << 20  # of text that they may have; documents beyond it, in the order of hashes, are left out whole
 GRAM = 4
 PIECE = 1 << 18  # characters hashed at once
 
@@ -89,11 +90,11 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rate: f
     return table @ (out[1] - out[0]), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "quality", max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "quality", max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> tuple[np.ndarray, float]:
     """Learn from rows of labels(doc_id, label) where train_rows holds, at most about max_train of them.
 
     Null labels and ids teach nothing; of repeated ids the smallest label and text count. The ids of the sample are at most
-    2 x max_train rows, so broadcasting them is bounded; the driver gets the sample's bags of buckets only.
+    2 x max_train rows, so broadcasting them is bounded; the driver gets the bags of buckets of at most max_bytes of text.
     """
     rows = labels.where(train_rows).select(F.col("doc_id"), col(label).cast("int").alias("label"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -101,8 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "qu
     if there > max_train:
         rows = rows.where(sampled(F.col("doc_id"), max_train / there, SEED))
     rows = rows.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(2 * max_train)
-    own = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
-    own = own.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # an id may be repeated without bound
+    own = texts_within(docs, rows, SEED, max_bytes)
     got = own.select("doc_id", "label", _bag(F.col("text")).alias("bag")).select("doc_id", "label", "bag.ids", "bag.n").toPandas().sort_values("doc_id")
     bags = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in zip(got["ids"], got["n"], strict=True)]
     return train(bags, got["label"].to_numpy(np.int64))

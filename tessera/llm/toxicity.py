@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, col, fold, mix, sampled, span_hashes
+from .common import by_size, col, fold, mix, sampled, span_hashes, texts_within
 from .near_dedup import M, ROWS, bag, shingles, signatures
 
 BUCKETS = 1 << 18
@@ -213,17 +213,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "to
     there = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     keep = F.when(F.col("label") == 1, sampled(F.col("doc_id"), min(1.0, max_toxic / max(there.get(1, 0), 1)), SEED))
     rows = rows.where(keep.otherwise(sampled(F.col("doc_id"), min(1.0, max_clean / max(there.get(0, 0), 1)), SEED)))
-    order = F.xxhash64("doc_id", F.lit(SEED))
-    rows = rows.orderBy(order, "doc_id").limit(2 * (max_toxic + max_clean))
-    own = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    size = own.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "label").agg(F.max(F.octet_length("text")).alias("size"), order.alias("place")).toPandas()
-    size = size.sort_values(["place", "doc_id"])
-    chosen = size[size["size"].cumsum() <= max_bytes][["doc_id", "label"]]
-    if chosen.empty:
+    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(2 * (max_toxic + max_clean))
+    got = texts_within(docs, rows, SEED, max_bytes).toPandas().sort_values("doc_id").drop_duplicates("text")
+    if got.empty:
         return train([], np.empty(0, np.int64))
-    few = docs.sparkSession.createDataFrame(list(chosen.itertuples(index=False, name=None)), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, label int")
-    got = own.join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas()  # an id may be repeated without bound
-    got = got.sort_values("doc_id").drop_duplicates("text")
     texts, known = [x.encode("utf-8", "surrogatepass") for x in got["text"]], got["label"].to_numpy(np.int64)
     keep = _apart(texts, known)
     return train([texts[i] for i in keep], known[keep])
