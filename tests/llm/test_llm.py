@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import unicodedata
 from collections import Counter
 from itertools import combinations
 
@@ -438,3 +439,221 @@ def test_deal_keys_are_equal_for_equal_windows():
         at = np.arange(len(word) - window + 1)
         keys, seen = substring_dedup.deal_keys(word, at, window), {}
         assert all(seen.setdefault(tuple(word[i : i + window]), k) == k for i, k in zip(at, keys.tolist(), strict=True))
+
+
+MEDIUM, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
+
+
+def auc(scores, labels):
+    """The chance that a row of label 1 scores above one of label 0."""
+    order = np.argsort(scores, kind="stable")
+    values = np.asarray(scores)[order]
+    ranks = np.empty(len(order))
+    for a, b in zip(first := np.flatnonzero(np.diff(values, prepend=-1.0)), [*first[1:], len(values)], strict=True):
+        ranks[order[a:b]] = (a + b - 1) / 2
+    one = np.asarray(labels) == 1
+    return (ranks[one].sum() - one.sum() * (one.sum() - 1) / 2) / (one.sum() * (~one).sum())
+
+
+@pytest.mark.parametrize(("name", "label", "recall", "alarms", "least"), [("op2_quality", "quality", 0.97, 0.25, 0.93), ("op8_toxicity", "toxic", 0.88, 0.03, 0.92)])
+def test_scores_hold_out(spark, name, label, recall, alarms, least):
+    """Recall, false alarms and the area under the curve of held-out rows: a constant answer fails each of them."""
+    got = queries.QUERIES[name](spark, LARGE).where("held_out").join(spark.read.parquet(f"{LARGE}/labels.parquet"), "doc_id").select("score", "predicted", F.col(label).alias("label")).toPandas()
+    one, zero = got[got["label"] == 1], got[got["label"] == 0]
+    assert len(one) >= 50 and len(zero) >= 50
+    assert one["predicted"].mean() >= recall and zero["predicted"].mean() <= alarms and auc(got["score"], got["label"]) >= least
+
+
+def test_language_by_plain_binding(spark):
+    """Bind and bundle letter by letter, without counts or buckets: the same vectors, cosines and languages."""
+    rows = [(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de"), (3, "кошка и собака", "ru"), (4, "Über naïve cafés, naïve!", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def vector(text):
+        codes = [ord(c) if unicodedata.category(c)[0] == "L" else 0 for c in text.lower()]
+        line = [0] + [c for c, before in zip(codes, [0, *codes], strict=False) if c or before] + [0]
+        own = {c: langid.letter_vectors(np.array([c]))[0].astype(int) for c in line}
+        assert all(abs(own[a] @ own[b]) < 150 for a in own for b in own if a != b)
+        return sum(np.roll(own[a], 2) * np.roll(own[b], 1) * own[c] for a, b, c in zip(line, line[1:], line[2:], strict=False))
+
+    plain = {lang: vector(text) for _, text, lang in rows}
+    names, prototypes = langid.fit(docs, F.lit(True))
+    for k, name in enumerate(names):
+        assert np.allclose(prototypes[k], plain[name] / np.linalg.norm(plain[name]), atol=1e-6)
+    for text in ("the dog and the cat", "собака", "die maus", "naïve"):
+        v = vector(text)
+        cosines = {n: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for n, p in plain.items()}
+        got = langid.predict(spark.createDataFrame([(text,)], "text string"), (names, prototypes)).first()
+        assert got["lang_pred"] == max(cosines, key=cosines.get) and abs(got["score"] - max(0.0, max(cosines.values()))) < 1e-5
+
+
+def test_quality_by_plain_means(spark):
+    """Whole texts, character n-grams of any script: the mean of the features' weights under a softmax of two classes."""
+    rng = np.random.default_rng(4)
+    weights, bias = rng.normal(size=quality.BUCKETS), 0.3
+    texts = ["größer als naïve\n\n cafés 東京タワー", "a", "", None, "x" * 9000 + " y", "aa aa  aa"]
+    got = [r["score"] for r in quality.score(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), (weights, bias)).collect()]
+
+    def features(text):
+        padded = text + "\n" * quality.GRAM
+        grams = [padded[i : i + quality.GRAM] for i in range(len(text))]
+        ids = []
+        for g in grams:
+            h = np.zeros(1, np.uint64)
+            for k, c in enumerate(g):
+                h = common.mix(h + np.uint64(ord(c)) + common.salt(k + 1))
+            ids.append(int(h[0] % np.uint64(quality.BUCKETS)))
+        for w in text.encode().split():
+            buf = np.frombuffer(w, np.uint8)
+            ids.append(int(common.span_hashes(buf, np.array([0]), np.array([len(buf)]))[0] % np.uint64(quality.BUCKETS)))
+        return ids
+
+    for text, score in zip(texts, got, strict=True):
+        ids = features(text or "")
+        logit = bias + (np.mean(weights.astype(np.float32)[ids].astype(float)) if ids else 0.0)
+        assert abs(score - 1 / (1 + math.exp(-logit))) < 1e-6
+
+
+def test_training_on_odd_tables(spark, odd, empty):
+    """Nulls, copies, very long texts and no rows at all: a model comes out, and it scores all rows."""
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 1), (5, 0), (7, None), (None, 1), (99, 1)], "doc_id long, y int")
+    for docs in (odd, empty):
+        for known in (labels, labels.where("false")):
+            model = quality.fit(docs, known, F.lit(True), "y")
+            assert quality.score(odd, model).where("score BETWEEN 0 AND 1").count() == 11
+            model = toxicity.fit(docs, known, F.lit(True), "y")
+            assert toxicity.tag(odd, model).where("score BETWEEN 0 AND 1").count() == 11
+    assert toxicity.fit(odd, labels, F.lit(True), "y", max_bytes=0)[0].any() == False  # noqa: E712
+
+
+def test_token_ids_are_those_of_tokenizers(small):
+    """Every document of two tables, and random strings over all of Unicode."""
+    import duckdb
+    from tokenizers import Tokenizer
+
+    plain, ours = Tokenizer.from_file(packing.public_tokenizer()), packing.encoder(packing.public_tokenizer())
+    texts = [t for d in (small, MEDIUM) for (t,) in duckdb.sql(f"SELECT text FROM '{d}/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    rng = random.Random(8)
+    blocks = [(32, 127), (160, 591), (0x300, 0x600), (0x900, 0xE00), (0x2000, 0x2100), (0x3040, 0x30FF), (0x4E00, 0x4F00), (0x1F300, 0x1F700), (9, 14)]
+    texts += ["".join(chr(rng.randrange(*rng.choice(blocks))) for _ in range(rng.randrange(1, 40))) for _ in range(5000)]
+    for text, ids in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert list(ours(text)) == ids.ids
+
+
+def plain_plan(lengths, size):
+    """Best-two-fit piece by piece: the bins as sorted tuples of lengths."""
+    left, bins = Counter(lengths), []
+    while left:
+        gap, own, pool = size, [], Counter(left)
+        while gap:
+            fits = [n for n in pool if n <= gap]
+            if not fits:
+                break
+            n = max(fits)
+            own.append(n)
+            pool[n] -= 1
+            pool = +pool
+            gap -= n
+        if gap and len(own) > 1:
+            least = own[-1]
+            best, pairs = least, [(a + b, max(a, b)) for a in pool for b in pool if a >= b and a + b <= least + gap and (a != b or pool[a] > 1)]
+            total, first = max(pairs, default=(0, 0))
+            if total > best:
+                own[-1:] = [first, total - first]
+        for n in own:
+            left[n] -= 1
+        left = +left
+        bins.append(tuple(sorted(own)))
+    return sorted(bins)
+
+
+def test_plan_is_best_two_fit():
+    rng = random.Random(9)
+    for case in range(60):
+        size = rng.choice([10, 24, 64])
+        lengths = [min(size, max(1, int(rng.expovariate(1 / (size / 4))))) for _ in range(rng.randrange(1, 80))]
+        counts = np.bincount(lengths, minlength=size + 1)
+        bins, at = {}, {}
+        for n, first, sequence, offset, times in packing.plan(counts, size).tolist():
+            for t in range(times):
+                bins.setdefault(sequence + t, []).append((offset, n))
+            at.setdefault(n, []).extend(range(first, first + times))
+        assert all(sorted(x) == list(range(counts[n])) for n, x in at.items()) and sum(map(len, bins.values())) == len(lengths)
+        for own in bins.values():
+            own.sort()
+            assert [o for o, _ in own] == np.cumsum([0, *(n for _, n in own)])[:-1].tolist() and sum(n for _, n in own) <= size
+        assert sorted(tuple(sorted(n for _, n in own)) for own in bins.values()) == plain_plan(lengths, size), case
+
+
+def test_pack_ties_and_repeats(spark):
+    """Rows that are all alike, with one id: every piece has a place of its own."""
+    got = packing.pack(spark.createDataFrame([(1, "same text")] * 40 + [(None, None)] * 5, "doc_id long, text string").repartition(7), size=8).toPandas()
+    places = {(s, o + i) for s, o, n in zip(got["sequence_id"], got["offset"], got["length"], strict=True) for i in range(n)}
+    assert len(got) == 45 and len(places) == got["length"].sum()
+
+
+def test_pipeline_clashing_columns(spark, tmp_path):
+    """Every stage gives the columns of its input, whatever they are called, and takes an empty table."""
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([(1, "an item that nothing holds")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, f"the words of text number {i} are {'abcdefgh'[i % 8]} and so on", "en", 0.5, "x", i, None, "p", 1) for i in range(20)] + [(99, None, "en", 0.5, "x", 0, None, "p", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, `a.b` int, `__row` string, `__path` string, `rid` int")
+    docs.write.parquet(str(tmp_path / "docs"))
+    for own in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        for name, stage in cp.STAGES:
+            got = stage(spark, own, str(tmp_path))
+            if name != "best-fit packing":
+                assert got.columns == docs.columns, name
+                assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in rows} and got.count() >= 19, name
+            else:
+                assert got.select("doc_id").distinct().count() == 21
+            empty = stage(spark, own.where("false"), str(tmp_path))
+            assert empty.count() == 0 and empty.columns == got.columns
+    assert cp._numbered(spark.read.parquet(str(tmp_path / "docs")), None)[0].count() == 21  # nothing was written: there is no scratch
+
+
+def test_chat_long_conversation(spark):
+    """A thousand turns, one of a million characters."""
+    rows = [(1, k, "assistant" if k % 500 == 499 else "user", "x" * 1_000_000 if k == 7 else f"turn {k}") for k in range(1000)]
+    out = chat.digests(chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert out["n_turns"] == 1000 and out["loss_chars"] == len("turn 499turn 999")
+
+
+def test_hosts(spark):
+    """Trailing dots, ports, users, and bracketed addresses."""
+    entries = spark.createDataFrame([("domain", "x.org", "block"), ("host", "[::1]", "block")], "kind string, value string, action string").withColumn("dated", F.lit("2024-01-01").cast("date"))
+    urls = ["http://x.org./a", "http://u:p@a.x.org:80/", "http://[::1]:8080/a", "http://[::2]/", "http://xx.org."]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("fetched_at", F.lit("2024-02-01").cast("date"))
+    assert [r["decision"] for r in url_filter.evaluate(pages, entries).orderBy("page_id").collect()] == ["block", "block", "block", "none", "none"]
+
+
+def test_near_classes_of_a_table(spark):
+    """Every text of a table against every other: no class is split or joined wrongly."""
+    import duckdb
+
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{MEDIUM}/documents.parquet'").fetchall()
+    bags = [Counter(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) > 4 else Counter({tuple(w): 1} if w else {}) for w in ((t or "").lower().split() for _, t in rows)]
+    sizes, at = [sum(b.values()) for b in bags], {}
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, bag in enumerate(bags):
+        for shingle in bag:
+            at.setdefault(shingle, []).append(i)
+    blank = [i for i, n in enumerate(sizes) if not n]
+    pairs = {(i, j) for own in at.values() if len(own) > 1 for i, j in combinations(own, 2) if min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])} | set(zip(blank, blank[1:], strict=False))
+    for i, j in pairs:
+        both = sum((bags[i] & bags[j]).values())
+        if both >= 0.8 * (sizes[i] + sizes[j] - both) - 1e-9:
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    groups = {}
+    for i, (key, _) in enumerate(rows):
+        groups.setdefault(root(i), []).append(key)
+    want = {k: min(own) for own in groups.values() for k in own}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) < len(rows)
