@@ -42,7 +42,8 @@ def identities(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     n = F.greatest(F.ceil(F.octet_length("body") / block), F.lit(1)).cast("int")
     cut = own.withColumn("n", n).withColumn("sha", F.sha2("body", 256))
     cut = cut.withColumn("blocks", F.expr(f"transform(sequence(0, n - 1), i -> substring(body, i * {block} + 1, {block}))")).drop("body")
-    rows = cut.select("rid", "doc_id", "points", "sha", "n", F.posexplode("blocks").alias("at", "block"))
+    # There is always a block. An inner explode would have Spark look for one first, and cut the text up anew for that.
+    rows = cut.select("rid", "doc_id", "points", "sha", "n", F.posexplode_outer("blocks").alias("at", "block"))
 
     def digest(sha: Column) -> Column:
         return F.unhex(sha) if digest_bits == 256 else F.substring(sha, 1, digest_bits // 4)
