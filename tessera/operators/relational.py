@@ -60,6 +60,14 @@ def topk_or_forced(df: DataFrame, keys: str | Sequence[str], order: Order, k: in
     return df.withColumn("__place", place).where((F.col("__place") <= k) | forced).drop("__place")
 
 
+def variety_cap(df: DataFrame, outer: str | Sequence[str], inner: str | Sequence[str], order: Order, per_inner: int, per_outer: int) -> DataFrame:
+    """What a greedy pass in order keeps, if at most per_inner rows of each (outer, inner) and per_outer of each outer may stay.
+
+    A row that is late for its inner group is late whatever else was kept, and a full outer group stays full: so the first
+    rows of the inner groups, and of these the first of the outer ones, are just the greedy choice."""
+    return topk_per_group(topk_per_group(df, [*_list(outer), *_list(inner)], order, per_inner), outer, order, per_outer)
+
+
 def merge_keep_best(frames: Sequence[DataFrame], keys: str | Sequence[str], score: str, origin: str = "origin") -> DataFrame:
     """Of all frames (of equal columns) the row with the largest score of each key; ties go to the smaller origin."""
     both = reduce(DataFrame.unionByName, frames)

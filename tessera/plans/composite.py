@@ -139,20 +139,12 @@ def kmeans(spark, sf_dir):
     return model.transform(own).select("vec_id", "label", "prediction")
 
 
-@query()
+@query("SELECT * FROM (SELECT * FROM (SELECT doc_id, lang, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 400) QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) <= 2) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) <= 40")
 def variety_cap(spark, sf_dir):
     """Greedy in score order: at most 2 rows per (lang, source) and 40 per lang among the top 400."""
-    top = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(400)
-
-    def pick(page):
-        pair, lang, keep = {}, 0, []
-        for row in page.sort_values(["n_chars", "doc_id"], ascending=[False, True]).itertuples():
-            if pair.get(row.source, 0) < 2 and lang < 40:
-                pair[row.source], lang = pair.get(row.source, 0) + 1, lang + 1
-                keep.append(row.Index)
-        return page.loc[keep]
-
-    return top.groupBy("lang").applyInPandas(pick, top.schema)
+    order = [F.desc("n_chars"), "doc_id"]
+    top = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").orderBy(*order).limit(400)
+    return R.variety_cap(top, "lang", "source", order, 2, 40)
 
 
 # -- statistics

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import json
 import struct
@@ -101,3 +102,13 @@ def choropleth(shapes: dict[str, str], values: dict[str, float], width: int, hei
     step = lambda v: colours[min(len(colours) - 1, int(len(colours) * (v - low) / (high - low or 1)))]
     body = "".join(f'<path id="{name}" d="{path}" fill="{step(values[name]) if name in values else "none"}"/>' for name, path in sorted(shapes.items()))
     return f'<svg viewBox="0 0 {width} {height}">{body}</svg>'
+
+
+def cards(rows: Sequence[dict], title: str, fields: Sequence[str], image: str | None = None) -> str:
+    """HTML cards, one a row: an image if there is one, a title, and the fields that aren't null; everything is escaped."""
+    out = []
+    for row in rows:
+        picture = f'<img src="{html.escape(str(row[image]))}">' if image and row.get(image) else ""
+        lines = "".join(f"<li>{html.escape(name)}: {html.escape(str(row[name]))}</li>" for name in fields if row.get(name) is not None)
+        out.append(f'<div class="card">{picture}<h3>{html.escape(str(row[title]))}</h3><ul>{lines}</ul></div>')
+    return "".join(out)

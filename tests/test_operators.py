@@ -251,3 +251,16 @@ def test_inverted_file_recall(spark):
     own = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     some = own.where("vec_id % 20 = 0")
     assert vectors.recall(vectors.knn_inverted(own, some, 5), vectors.knn(own, some, 5)) >= 0.9
+
+
+def test_weight_search_finds_the_best(spark):
+    """The search against every weighting by hand."""
+    rng = np.random.default_rng(2)
+    fields, winners = [rng.random((6, 3)) for _ in range(4)], [0, 3, 5, 2]
+    found = stats.weight_search(spark, fields, winners, n=60, chunk=20, keep=3, seed=9).collect()
+    worth = []
+    for k in range(3):
+        for w in np.random.default_rng(9 + k).dirichlet(np.ones(3), 20):
+            places = [sorted(range(6), key=lambda i, f=f, w=w: -f[i] @ w).index(x) for f, x in zip(fields, winners, strict=True)]
+            worth.append(sum((10, 5, 2, 1, 0, 0)[p] for p in places))
+    assert [r["points"] for r in found] == sorted(worth, reverse=True)[:3]

@@ -122,3 +122,17 @@ def test_tiles(spark):
     df = spark.range(0, 1003, 1, 6).select("id", (F.col("id") % 3).alias("k"), (F.col("id") * 37 % 101).alias("v")).unionByName(spark.createDataFrame([(-1, None, 5), (-2, None, 6)], "id long, k long, v long"))
     want = df.select("id", F.ntile(4).over(W.partitionBy("k").orderBy("v", "id")).alias("t"))
     assert got(R.ntile(df, "k", ["v", "id"], 4, "t").select("id", "t")) == got(want)
+
+
+def test_variety_cap_is_greedy(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.choice("xyz"), rng.random()) for i in range(60)]
+    seen, kept = {}, []
+    for i, g, h, v in sorted(rows, key=lambda r: -r[3]):
+        if seen.get((g, h), 0) < 2 and seen.get(g, 0) < 5:
+            seen[g, h], seen[g] = seen.get((g, h), 0) + 1, seen.get(g, 0) + 1
+            kept.append(i)
+    df = spark.createDataFrame(rows, "id long, g string, h string, v double")
+    assert sorted(r["id"] for r in R.variety_cap(df, "g", "h", [F.desc("v")], 2, 5).collect()) == sorted(kept)

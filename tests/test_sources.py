@@ -66,6 +66,11 @@ def test_shapes():
     assert files.choropleth({"a": "M0", "b": "M1", "c": "M2"}, {"a": 0.0, "b": 9.0}, 1, 1, ("x", "y")) == '<svg viewBox="0 0 1 1"><path id="a" d="M0" fill="x"/><path id="b" d="M1" fill="y"/><path id="c" d="M2" fill="none"/></svg>'
 
 
+def test_cards():
+    rows = [{"t": "a<b", "x": 1, "y": None, "i": "u?a&b"}, {"t": "c", "x": "&", "i": None}]
+    assert files.cards(rows, "t", ["x", "y"], "i") == '<div class="card"><img src="u?a&amp;b"><h3>a&lt;b</h3><ul><li>x: 1</li></ul></div><div class="card"><h3>c</h3><ul><li>x: &amp;</li></ul></div>'
+
+
 def test_sinks(spark, tmp_path):
     for k in range(2):
         io.write_jsonl(spark.range(k, k + 1), str(tmp_path / "out"))
