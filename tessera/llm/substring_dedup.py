@@ -34,7 +34,7 @@ DEPTH = 2
 WIDTH = 16  # cells of each row a window
 SHARD_BITS = 24  # cells of a shard, as a power of two
 GRAM = 4  # words whose least hash deals a window
-GROUP = 1 << 20  # windows, at most, that one exact group is planned for
+GROUP = 1 << 18  # windows, at most, that one exact group is planned for
 CHUNK = 6 << 20  # bytes of text in a chunk
 BUCKET = 96 << 20  # bytes of text in a bucket of chunks
 MOST_BUCKETS = 100_000  # that Spark allows
