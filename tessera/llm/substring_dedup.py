@@ -8,8 +8,9 @@
 3. Windows whose cells all reach two are exactly grouped. Neighbouring windows travel as one run of words, dealt by their
    least hash of GRAM words: equal windows have the same, and most neighbours too. Where the runs of one hash meet, windows
    with equal hashes are compared word by word. A window that occurs once but shared cells drops out here, and one that
-   occurs twice can't have been missed. Of each chunk's equal windows only the first takes part, so a passage in thousands
-   of documents is reduced before it is moved.
+   occurs twice can't have been missed. Of each chunk's equal windows only the first takes part, and where more than FAN
+   chunks might meet they do so in groups of FAN, whose first windows meet again: a passage in every document is reduced
+   before it is moved, and no group grows with the corpus.
 4. Every window but the first of its kind is removed, and the words it covers with it.
 
 The sketch's width follows the number of windows (WIDTH cells a window), while a shard's size is fixed: no part of it has
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,7 @@ WIDTH = 16  # cells of each row a window
 SHARD_BITS = 24  # cells of a shard, as a power of two
 GRAM = 4  # words whose least hash deals a window
 GROUP = 1 << 18  # windows, at most, that one exact group is planned for
+FAN = 4096  # chunks whose windows of one key may meet in one group
 CHUNK = 6 << 20  # bytes of text in a chunk
 BUCKET = 96 << 20  # bytes of text in a bucket of chunks
 MOST_BUCKETS = 100_000  # that Spark allows
@@ -106,6 +109,17 @@ def first_equal(blob: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.nd
     return np.array([names.setdefault(blob[a:b], i) for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))], np.int64)
 
 
+def runs_of(place: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of neighbouring places in which the other arrays don't change."""
+    if not len(place):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    step = np.diff(place) != 1
+    for other in same:
+        step |= np.diff(other) != 0
+    first = np.flatnonzero(np.concatenate([[True], step]))
+    return first, np.concatenate([first[1:], [len(place)]]) - 1
+
+
 def planes(values: np.ndarray) -> bytes:
     """Sorted numbers byte plane by byte plane, so that the high bytes compress away."""
     return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -150,7 +164,7 @@ def _chunked(size: int):
     return gather
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, texts: bool = True, width: int = WIDTH, shard_bits: int = SHARD_BITS, chunk_bytes: int = CHUNK, group: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, texts: bool = True, width: int = WIDTH, shard_bits: int = SHARD_BITS, chunk_bytes: int = CHUNK, group: int = GROUP, fan: int = FAN, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. A word goes if a window of `window` words covers it whose words also start
@@ -218,35 +232,56 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 first = first_equal(blob, begin, end, hashes[some]) == np.arange(len(some))
                 mine = np.flatnonzero(first)
                 keys, doc, place = deal_keys(word, at[some[mine]], window).view(np.int64), owner[at[some[mine]]], some[mine]
-                cut = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 1) | (np.diff(keys) != 0) | (np.diff(doc) != 0)]))
-                stop = np.concatenate([cut[1:], [len(mine)]]) - 1
+                cut, stop = runs_of(place, keys, doc)
                 bodies = [blob[a:b] for a, b in zip(begin[mine[cut]].tolist(), end[mine[stop]].tolist(), strict=True)]
                 names = np.array([np.iinfo(np.int64).max if x is None or x != x else int(x) for x in ids], np.int64)
                 yield pd.DataFrame({"chunk": chunk, "key": keys[cut], "doc": names[doc[cut]], "at": place[cut], "n": stop - cut + 1, "body": bodies, "lost": None})
                 yield pd.DataFrame({"chunk": [chunk], "key": [None], "doc": [None], "at": [None], "n": [0], "body": [None], "lost": [planes(some[~first])]})
 
-    def losers(page: pd.DataFrame) -> pd.DataFrame:
-        """Numbers of the windows that aren't the first of their kind, by chunk."""
+    def meeting(again: bool):
+        return lambda page: meet(page, again)
+
+    def meet(page: pd.DataFrame, again: bool) -> pd.DataFrame:
+        """Windows that aren't the first of their kind in a group, by chunk, and (if they meet again) the others as runs."""
         page = page.sort_values(["doc", "chunk", "at"], kind="stable")
         blob = b"\n".join([*page["body"], b""])
         sizes = np.array([len(x) + 1 for x in page["body"]], np.int64)
         buf, starts, ends, owner = words_of(blob, sizes)
         at = window_starts(owner, window)
         hashes = window_hashes(word_hashes(buf, starts, ends), at, window)
-        lost = np.flatnonzero(first_equal(blob, starts[at], ends[at + window - 1], hashes) != np.arange(len(at)))
-        run, before = owner[at], np.concatenate([[0], np.cumsum(page["n"].to_numpy(np.int64))])
-        chunk, place = page["chunk"].to_numpy(np.int64)[run[lost]], page["at"].to_numpy(np.int64)[run[lost]] + lost - before[run[lost]]
-        order = np.lexsort((place, chunk))
-        chunk, place = chunk[order], place[order]
-        return pd.DataFrame([(int(chunk[a]), planes(place[a:b])) for a, b in stretches(chunk)], columns=["chunk", "at"])
-
+        begin, end, run = starts[at], ends[at + window - 1], owner[at]
+        first = first_equal(blob, begin, end, hashes) == np.arange(len(at))
+        before = np.concatenate([[0], np.cumsum(page["n"].to_numpy(np.int64))])
+        chunk, place = page["chunk"].to_numpy(np.int64)[run], page["at"].to_numpy(np.int64)[run] + np.arange(len(at)) - before[run]
+        lost = np.flatnonzero(~first)
+        lost = lost[np.lexsort((place[lost], chunk[lost]))]
+        cuts = stretches(chunk[lost])
+        out = [pd.DataFrame({"chunk": [int(chunk[lost][a]) for a, _ in cuts], "key": None, "doc": None, "at": None, "n": 0, "body": None, "lost": [planes(place[lost][a:b]) for a, b in cuts]})]
+        if again:
+            kept = np.flatnonzero(first)
+            a, b = runs_of(place[kept], run[kept])
+            own = run[kept[a]]
+            bodies = [blob[x:y] for x, y in zip(begin[kept[a]].tolist(), end[kept[b]].tolist(), strict=True)]
+            out.append(pd.DataFrame({"chunk": chunk[kept[a]], "key": page["key"].to_numpy(np.int64)[own], "doc": page["doc"].to_numpy(np.int64)[own], "at": place[kept[a]], "n": b - a + 1, "body": bodies, "lost": None}))
+        return pd.concat([x.astype(object) for x in out])[["chunk", "key", "doc", "at", "n", "body", "lost"]]
+
+    kind = "chunk long, key long, doc long, at long, n long, body binary, lost binary"
     with small_batches(spark, 64):
-        found = chunks.join(answers, "chunk").select("chunk", "ids", "sizes", "blob", "answers").mapInPandas(suspects, "chunk long, key long, doc long, at long, n long, body binary, lost binary")
-        found = scratch.save(found, "suspects")
-        groups = 1 + (found.agg(F.sum("n")).first()[0] or 0) // group
-        dealt = found.where("key is not null").withColumn("part", F.pmod("key", F.lit(groups)))
-        lost = dealt.groupBy("part").applyInPandas(losers, "chunk long, at binary").unionByName(found.where("key is null").select("chunk", F.col("lost").alias("at")))
-        gone = lost.groupBy("chunk").agg(F.collect_list("at").alias("gone"))
+        found = chunks.join(answers, "chunk").select("chunk", "ids", "sizes", "blob", "answers").mapInPandas(suspects, kind)
+        left = found = scratch.save(found, "suspects")
+        met, lost, level = chunks.count(), [found.where("lost is not null")], 0
+        while True:
+            slots = 1 + (met - 1) // fan if met else 1
+            windows = left.agg(F.sum("n")).first()[0] or 0
+            part, slot = F.pmod("key", F.lit(1 + windows // group)), F.pmod(F.xxhash64("chunk", F.lit(level)), F.lit(slots))
+            again = slots > 1
+            out = left.where("key is not null").withColumns({"part": part, "slot": slot}).groupBy("part", "slot").applyInPandas(meeting(again), kind)
+            if not again:
+                lost.append(out)
+                break
+            left, met, level = scratch.save(out, f"met{level}"), slots, level + 1
+            lost.append(left.where("lost is not null"))
+        gone = reduce(DataFrame.unionByName, lost).groupBy("chunk").agg(F.collect_list("lost").alias("gone"))
 
     def cut_out(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
@@ -276,7 +311,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = chunks.join(gone, "chunk", "left").select("ids", "sizes", "blob", "gone")
     out = whole.mapInPandas(cut_out, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
     out = scratch.save(out, "kept")
-    scratch.drop("chunks", "suspects")
+    scratch.drop("chunks", "suspects", *(f"met{k}" for k in range(level)))
     return out
 
 

@@ -109,8 +109,9 @@ def test_substring_dedup(spark, empty):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(40))) if i % 9 else None) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    out = substring_dedup.remove_repeats(df, window=5, chunk_bytes=300, width=1, shard_bits=6)
-    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect()} == brute_windows(rows, 5)
+    for fan in (substring_dedup.FAN, 3, 2):  # in groups of few chunks, whose first windows meet again
+        out = substring_dedup.remove_repeats(df, window=5, chunk_bytes=300, width=1, shard_bits=6, fan=fan)
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect()} == brute_windows(rows, 5)
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
