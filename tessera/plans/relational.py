@@ -478,6 +478,11 @@ def sort_mixed(t):
     return t.part.select("p_partkey", "p_size", "p_retailprice").orderBy("p_size", F.desc("p_retailprice"), "p_partkey")
 
 
+@over
+def head_rows(t):
+    return R.head_per_file(t.nation, 5).select("n_nationkey", "n_name")
+
+
 @over
 def topk_plus_forced(t):
     return R.topk_or_forced(t.orders, "o_custkey", [F.desc("o_totalprice"), "o_orderkey"], 2, c("o_orderpriority") == "1-URGENT").select("o_custkey", "o_orderkey")

@@ -72,6 +72,7 @@ SQL = {
     "topk_axes_union": 'SELECT DISTINCT l_orderkey, l_linenumber FROM (SELECT * FROM (SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 40) UNION ALL SELECT * FROM (SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_quantity DESC, l_orderkey, l_linenumber LIMIT 40) UNION ALL SELECT * FROM (SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_discount DESC, l_orderkey, l_linenumber LIMIT 40))',
     "best_per_key_topk": 'WITH b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rn FROM lineitem), t AS (SELECT l_orderkey, l_linenumber, l_extendedprice FROM b WHERE rn = 1 ORDER BY l_extendedprice DESC, l_orderkey LIMIT 50) SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey) + 999 AS BIGINT) AS cand_id FROM t',
     "sort_mixed": 'SELECT p_partkey, p_size, p_retailprice FROM part ORDER BY p_size ASC, p_retailprice DESC, p_partkey',
+    "head_rows": 'SELECT n_nationkey, n_name FROM nation LIMIT 5',
     "topk_plus_forced": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 2 OR o_orderpriority = '1-URGENT'",
     "samples_per_key": 'SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 8',
     "hash_sample": 'SELECT doc_id, source FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 100',
