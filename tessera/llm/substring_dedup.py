@@ -179,7 +179,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = docs.select(F.coalesce(key, F.lit(0)).alias("doc_id"), key.isNull().alias("null"), col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length(col(text)))).first()[0] or 0
     shape = "chunk long, ids array<long>, sizes array<int>, blob binary, words long"
-    chunks = scratch.buckets(own.mapInPandas(_chunked(chunk_bytes), shape), "chunks", "chunk", min(MOST_BUCKETS, 1 + size // BUCKET))
+    least = int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MOST_BUCKETS, max(least, 1 + size // BUCKET))  # with fewer buckets than partitions Spark would shuffle the table to join it
+    chunks = scratch.buckets(own.mapInPandas(_chunked(chunk_bytes), shape), "chunks", "chunk", buckets)
     total = chunks.agg(F.sum("words")).first()[0] or 0
     bits = max(shard_bits, int(max(1, total * width) - 1).bit_length())
     low = np.uint64((1 << shard_bits) - 1)
