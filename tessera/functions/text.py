@@ -202,8 +202,8 @@ def top_terms(text: Column, stop: tuple[str, ...] = (), k: int = 40) -> Column:
         return F.struct(F.when(same, acc["done"]).otherwise(more).alias("done"), w.alias("w"), F.when(same, acc["n"] + 1).otherwise(1).alias("n"))
 
     end = F.array_append(words, F.lit("\uffff"))  # closes the last run
-    runs = F.aggregate(F.array_sort(end), none, step, lambda acc: acc["done"])
-    best = F.slice(F.array_sort(runs), 1, k)
+    runs = F.aggregate(F.sort_array(end), none, step, lambda acc: acc["done"])
+    best = F.slice(F.sort_array(runs), 1, k)
     return F.map_from_entries(F.transform(best, lambda r: F.struct(r["w"], -r["n"])))
 
 

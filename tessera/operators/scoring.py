@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,8 +53,14 @@ CONTEXTS = {"quote": r"(?i)\b(?:he|she|they) (?:said|called)", "deploy": r"(?i)\
 CONTEXT_WEIGHTS = {"deploy": 1.25, "quote_crit": 0.35, "reclaim": 0.25, "ambiguous": 0.85}
 
 
-def _any(words: Column, listed: Sequence[str]) -> Column:
-    return F.size(F.filter(words, lambda w: F.lower(w).isin(*listed)))
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _listed(text: Column, words: Sequence[str]) -> Column:
+    """The listed words of a text, in lower case and as often as they occur."""
+    return F.filter(F.transform(words_of(text), F.lower), lambda w: w.isin(*words))
 
 
 def words_of(text: Column) -> Column:
@@ -69,14 +76,20 @@ def with_word_stats(df: DataFrame, text: str = "text", lexicon: Lexicon = Lexico
 
     A text without words has one, an empty or null text none.
     """
-    t, w = F.coalesce(F.col(text), F.lit("")), F.col("__words")
-    own = df.withColumn("__words", words_of(F.col(text)))
-    n = F.when(t == "", 0).otherwise(F.greatest(F.size(w), F.lit(1)))
-    caps = F.size(F.filter(w, is_caps)) / F.greatest(F.size(w), F.lit(1)).cast("double")
+    t = F.coalesce(F.col(text), F.lit(""))
+    tiers = {"strong": lexicon.strong, "medium": lexicon.medium, "mild": lexicon.mild}
+    every = [w for own in tiers.values() for w in own]
+
+    def counted(words: Column) -> Column:
+        listed = F.filter(F.transform(words, F.lower), lambda w: w.isin(*every))
+        return F.struct(F.size(words).alias("n"), F.size(F.filter(words, is_caps)).alias("caps"), listed.alias("listed"))
+
+    own = df.withColumn("__w", let(words_of(F.col(text)), counted))
+    n, some = F.col("__w.n"), lambda own: F.size(F.filter("__w.listed", lambda w: w.isin(*own)))
     return own.withColumns({
-        "words": n, "strong": _any(w, lexicon.strong), "medium": _any(w, lexicon.medium), "mild": _any(w, lexicon.mild),
-        "caps_ratio": caps, "exclam": F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))),
-    }).drop("__words")
+        "words": F.when(t == "", 0).otherwise(F.greatest(n, F.lit(1))), **{name: some(words) for name, words in tiers.items()},
+        "caps_ratio": F.col("__w.caps") / F.greatest(n, F.lit(1)).cast("double"), "exclam": F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))),
+    }).drop("__w")
 
 
 def lexicon_score() -> Column:
@@ -109,35 +122,29 @@ def topk_signals(df: DataFrame, group: str, key: str, of: Mapping[str, Column],
 def category_hits(text: Column, rules: Categories = Categories()) -> Column:
     """array<struct<category,word,n>>: listed words that occur, and censored spellings as root*."""
     t = F.coalesce(text, F.lit(""))
-    words = F.transform(words_of(text), F.lower)
-    count = lambda w: F.size(F.filter(words, lambda x: x == w))
     hit = lambda category, word, n: F.struct(F.lit(category).alias("category"), F.lit(word).alias("word"), n.cast("int").alias("n"))
-    exact = [hit(c, w, count(w)) for c, own in rules.words.items() for w in own]
-    return F.filter(F.array(*exact, *[hit(c, f"{root}*", F.regexp_count(t, F.lit("(?i)" + p))) for c, root, p in rules.censored]), lambda h: h["n"] > 0)
-
-
-def _where(name: str, value: str):
-    return lambda h: h[name] == value
-
 
-def _but(word: str, root):
-    return lambda h: root(h) != word
+    def counted(words: Column) -> Column:
+        count = lambda w: F.size(F.filter(words, lambda x: x == w))
+        return F.array(*[hit(c, w, count(w)) for c, own in rules.words.items() for w in own])
 
+    exact = let(_listed(text, [w for own in rules.words.values() for w in own]), counted)
+    censored = F.array(*[hit(c, f"{root}*", F.regexp_count(t, F.lit("(?i)" + p))) for c, root, p in rules.censored])
+    return F.filter(F.concat(exact, censored), lambda h: h["n"] > 0)
 
-def _not_in(words: Sequence[str]):
-    return lambda h: ~h["word"].isin(*words)
 
+def severity(hits: Column, rules: Categories = Categories(), caps: Column | None = None, exclam: Column | None = None) -> Column:
+    """The weighted hits of each category, each further distinct word counting half, and energy from capitals and exclamations."""
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"))
 
-def _total(hits: Column) -> Column:
-    return F.aggregate(hits, F.lit(0), lambda s, h: s + h["n"])
+    def of(category: str, weight: float) -> Column:
+        def step(acc, h):
+            mine = (h["category"] == category).cast("int")
+            return F.struct((acc["n"] + mine * h["n"]).alias("n"), (acc["words"] + mine).alias("words"))
 
+        return F.aggregate(hits, none, step, lambda acc: F.when(acc["words"] > 0, weight * (acc["n"] + 0.5 * (acc["words"] - 1))).otherwise(0.0))
 
-def severity(hits: Column, rules: Categories = Categories(), caps: Column | None = None, exclam: Column | None = None) -> Column:
-    """The weighted hits of each category, each further distinct word counting half, and energy from capitals and exclamations."""
-    out = F.lit(0.0)
-    for category, weight in rules.weights.items():
-        own = F.filter(hits, _where("category", category))
-        out = out + F.when(F.size(own) > 0, weight * (_total(own) + 0.5 * (F.size(own) - 1))).otherwise(0.0)
+    out = reduce(Column.__add__, [of(c, w) for c, w in rules.weights.items()])
     if caps is not None:
         out = out + F.least(caps, F.lit(0.25)) * 8
     return out if exclam is None else out + F.least(exclam, F.lit(40)) * 0.05
@@ -158,14 +165,18 @@ def filter_hits(hits: Column, text: Column, group: Column, rules: Categories = C
     """Hits without names, self-censored names, words blocked in the group, and ambiguous words without support, in this order."""
     t = F.coalesce(text, F.lit(""))
     root = lambda h: F.rtrim(h["word"], F.lit("*"))
-    for word, pattern in rules.traps.items():
-        hits = F.when(t.rlike(pattern), F.filter(hits, _but(word, root))).otherwise(hits)
     censored = t.rlike("(?i)" + MULTI_CENSOR) | (F.regexp_count(t, F.lit(CAPITAL_CENSOR)) >= 2)
-    hits = F.when(censored, F.filter(hits, lambda h: ~h["word"].endswith("*"))).otherwise(hits)
-    for name, words in rules.blocked.items():
-        hits = F.when(group == name, F.filter(hits, _not_in(words))).otherwise(hits)
-    supported = F.exists(hits, lambda h: h["word"].isin(*rules.confident)) | t.rlike(rules.explicit)
-    return F.when(supported, hits).otherwise(F.filter(hits, lambda h: ~root(h).isin(*rules.ambiguous)))
+
+    def stands(h: Column) -> Column:
+        gone = [(root(h) == word) & t.rlike(pattern) for word, pattern in rules.traps.items()]
+        gone += [h["word"].endswith("*") & censored, *[(group == name) & h["word"].isin(*words) for name, words in rules.blocked.items()]]
+        return ~reduce(Column.__or__, gone)
+
+    def supported(kept: Column) -> Column:
+        sure = F.exists(kept, lambda h: h["word"].isin(*rules.confident)) | t.rlike(rules.explicit)
+        return F.when(sure, kept).otherwise(F.filter(kept, lambda h: ~root(h).isin(*rules.ambiguous)))
+
+    return let(F.filter(hits, stands), supported)
 
 
 @dataclass(frozen=True)
@@ -193,14 +204,16 @@ def rerank(hits: Column, text: Column, context: Column, group: Column, rating: C
     in_any = lambda names: F.exists(hits, lambda h: h["category"].isin(*names))
     hard = F.exists(hits, lambda h: (h["category"] == rules.plain) & h["word"].isin(*rules.hard))
     stands = hard | F.exists(hits, lambda h: h["category"] != rules.plain)
-    s = severity(hits, Categories(weights=rules.weights)) * by_context(context, rules.contexts)
     only = (F.size(hits) > 0) & ~F.exists(hits, lambda h: h["category"] != rules.alone)
-    told = s * F.when(context == "deploy", 0.6).otherwise(0.25) * F.when(only, 0.2).otherwise(1.0)
-    s = F.when(group.isin(*rules.fiction), told).when(group.isin(*rules.physical), s * 1.4 + 4).otherwise(s)
+    fiction, physical = group.isin(*rules.fiction), group.isin(*rules.physical) & ~group.isin(*rules.fiction)
+    # Each step uses the score once: a factor and a summand, 1 and 0 where the step doesn't hold.
+    s = severity(hits, Categories(weights=rules.weights)) * by_context(context, rules.contexts)
+    s = s * F.when(fiction, F.when(context == "deploy", 0.6).otherwise(0.25)).when(physical, 1.4).otherwise(1.0)
+    s = s * F.when(fiction & only, 0.2).otherwise(1.0) + F.when(physical, 4.0).otherwise(0.0)
     s = s * F.when(t.rlike(rules.stories), 0.3).otherwise(1.0)
     s = s * F.when(t.rlike(rules.songs) & in_any(rules.heavy), 0.35).otherwise(1.0)
     s = s + F.regexp_count(t, F.lit(rules.complaints)) * 1.4 + F.when(t.rlike(rules.hard_complaints), 5.0).otherwise(0.0)
-    s = F.when(rating == 1, s * 1.15 + 8).when(rating == 2, s + 3).when(rating == 4, s * 0.55).when(rating == 5, s * 0.35).otherwise(s)
+    s = s * F.when(rating == 1, 1.15).when(rating == 4, 0.55).when(rating == 5, 0.35).otherwise(1.0) + F.when(rating == 1, 8.0).when(rating == 2, 3.0).otherwise(0.0)
     s = s + caps * 10 + F.least(exclam, F.lit(20)) * 0.15
     s = s * F.when((words > 0) & (words < 10), 0.5).when(words > 600, 0.8).otherwise(1.0)
     return F.when(stands, F.round(s, 3)).otherwise(0.0)
@@ -211,11 +224,16 @@ def variety(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
     t = F.coalesce(text, F.lit(""))
     shouting = t == F.upper(t)
     name = lambda w: (F.left(w, F.lit(1)) == F.upper(F.left(w, F.lit(1)))) & (w != F.upper(w)) & ~shouting & F.lower(w).isin(*lexicon.names)
-    words = F.transform(F.filter(words_of(text), lambda w: ~name(w)), F.lower)
-    some = lambda listed: F.size(F.filter(words, lambda w: w.isin(*listed)))
-    distinct = F.size(F.array_distinct(F.filter(words, lambda w: w.isin(*lexicon.strong))))
-    total = (3 * some(lexicon.strong) + 2 * some(lexicon.medium) + some(lexicon.mild)).cast("double")
-    return F.struct(total.alias("severity"), (total * (1 + 0.5 * distinct)).alias("variety"), distinct.alias("distinct"))
+    every = [*lexicon.strong, *lexicon.medium, *lexicon.mild]
+
+    def scored(words: Column) -> Column:
+        some = lambda listed: F.size(F.filter(words, lambda w: w.isin(*listed)))
+        distinct = F.size(F.array_distinct(F.filter(words, lambda w: w.isin(*lexicon.strong))))
+        total = (3 * some(lexicon.strong) + 2 * some(lexicon.medium) + some(lexicon.mild)).cast("double")
+        return F.struct(total.alias("severity"), (total * (1 + 0.5 * distinct)).alias("variety"), distinct.alias("distinct"))
+
+    own = F.transform(F.filter(words_of(text), lambda w: F.lower(w).isin(*every) & ~name(w)), F.lower)
+    return let(own, scored)
 
 
 def top_share(words: Column) -> Column:
@@ -226,29 +244,42 @@ def top_share(words: Column) -> Column:
         run = F.when(acc["word"] == w, acc["run"] + 1).otherwise(1)
         return F.struct(w.alias("word"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    best = F.aggregate(F.array_sort(words), none, step, lambda acc: acc["best"])
-    return F.struct(F.size(words).alias("n"), F.coalesce(F.try_divide(best.cast("double"), F.size(words)), F.lit(0.0)).alias("share"))
+    def shared(own: Column) -> Column:
+        best = F.aggregate(own, none, step, lambda acc: acc["best"])
+        return F.struct(F.size(own).alias("n"), F.coalesce(F.try_divide(best.cast("double"), F.size(own)), F.lit(0.0)).alias("share"))
+
+    return let(F.sort_array(words), shared)  # array_sort() would compare by an interpreted function
 
 
 def repeats_itself(text: Column, times: int = 4, upto: int = 600) -> Column:
     """Does a piece of 15, 20, 30 or 40 characters, from every tenth place on, occur `times` times in the text's beginning?"""
-    s = F.left(F.coalesce(text, F.lit("")), F.lit(upto))
 
-    def some(size: int) -> Column:
-        last = F.least(F.length(s) - size, F.lit(200)) - 1
-        piece = lambda i: F.substr(s, i + 1, F.lit(size))
-        often = lambda i: (F.trim(piece(i)) != "") & ((F.length(s) - F.length(F.replace(s, piece(i), F.lit("")))) >= times * size)
-        return F.when(last >= 0, F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(10)), often)).otherwise(False)
+    def any_piece(s: Column) -> Column:
+        def some(size: int) -> Column:
+            last = F.least(F.length(s) - size, F.lit(200)) - 1
+            piece = lambda i: F.substr(s, i + 1, F.lit(size))
+            often = lambda i: (F.trim(piece(i)) != "") & ((F.length(s) - F.length(F.replace(s, piece(i), F.lit("")))) >= times * size)
+            return F.when(last >= 0, F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(10)), often)).otherwise(False)
+
+        return reduce(Column.__or__, [some(n) for n in (15, 20, 30, 40)])
 
-    return reduce(Column.__or__, [some(n) for n in (15, 20, 30, 40)])
+    return let(F.left(F.coalesce(text, F.lit("")), F.lit(upto)), any_piece)
+
+
+def repetitive(top: Column, long: int = 15, bar: float = 0.5) -> Column:
+    """Is one word, by top_share(), over 0.7 of three words or more, or over a bar of a long text?"""
+    return (top["n"] >= 3) & (((top["n"] >= long) & (top["share"] > bar)) | (top["share"] > 0.7))
 
 
 def is_spam(text: Column, strict: bool = False) -> Column:
     """No text, or one word being most of it; strict: a lower bar for long texts, and pieces that repeat themselves."""
-    top = top_share(F.transform(words_of(text), F.lower))
     long, bar = (20, 0.45) if strict else (15, 0.5)
-    out = (F.coalesce(F.length(text), F.lit(0)) == 0) | ((top["n"] >= 3) & (((top["n"] >= long) & (top["share"] > bar)) | (top["share"] > 0.7)))
-    return out | (top["n"] >= 3) & repeats_itself(text) if strict else out
+
+    def judged(top: Column) -> Column:
+        out = repetitive(top, long, bar)
+        return out | (top["n"] >= 3) & repeats_itself(text) if strict else out
+
+    return (F.coalesce(F.length(text), F.lit(0)) == 0) | let(top_share(F.transform(words_of(text), F.lower)), judged)
 
 
 KEYWORDS = ("roach", "mouse", "ghost", "scary", "police", "fight", "leak", "smell", "alarm", "loud", "spider", "midnight")
@@ -259,12 +290,14 @@ ODD_FIVE = ("but ", "however ", "scary", "weird", "strange")
 def tier1(text: Column, keywords: Sequence[str] = KEYWORDS, markers: str = r"(?i)\b(?:however|but)\b") -> Column:
     """The funnel's first score: 2 for each keyword that occurs, 1.5 for each marker, and bonuses for length and phrases."""
     t = F.coalesce(text, F.lit(""))
-    low = F.lower(t)
-    has = lambda w: F.contains(low, F.lit(w))
-    any_of = lambda words: reduce(Column.__or__, [has(w) for w in words])
-    hits = reduce(Column.__add__, [has(k).cast("int") for k in keywords])
-    score = 2.0 * hits + 1.5 * F.regexp_count(t, F.lit(markers)) + F.when(F.length(t).between(200, 1500), 0.5).otherwise(0.0)
-    return score + F.when(any_of(REFUSALS), 1.0).otherwise(0.0) + F.when(has("five stars") & any_of(ODD_FIVE), 2.0).otherwise(0.0)
+
+    def scored(low: Column) -> Column:
+        has = lambda w: F.contains(low, F.lit(w))
+        any_of = lambda words: reduce(Column.__or__, [has(w) for w in words])
+        hits = reduce(Column.__add__, [has(k).cast("int") for k in keywords])
+        return 2.0 * hits + F.when(any_of(REFUSALS), 1.0).otherwise(0.0) + F.when(has("five stars") & any_of(ODD_FIVE), 2.0).otherwise(0.0)
+
+    return let(F.lower(t), scored) + 1.5 * F.regexp_count(t, F.lit(markers)) + F.when(F.length(t).between(200, 1500), 0.5).otherwise(0.0)
 
 
 def funnel(scored: DataFrame, vectors: DataFrame, key: str, vector: str, first: int = 250_000, clusters: int = 40, last: int = 12_000, seed: int = 42) -> DataFrame:
@@ -274,6 +307,7 @@ def funnel(scored: DataFrame, vectors: DataFrame, key: str, vector: str, first:
     from pyspark.ml.functions import array_to_vector
 
     best = scored.orderBy(F.desc("score"), key).limit(first).join(vectors, key).select(key, "score", array_to_vector(vector).alias("features"))
+    best = best.persist(StorageLevel.DISK_ONLY)  # at most `first` rows, which the clustering reads again and again
     n = best.count()
     if not n:
         return best.select(key, "score", F.lit(0).alias("cluster"), F.lit(0).alias("cluster_rank"), "score").toDF(key, "score", "cluster", "cluster_rank", "combined")

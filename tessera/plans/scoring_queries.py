@@ -167,8 +167,8 @@ _SHARES = f"SELECT doc_id, t, len(l) AS n, coalesce(CAST({_TOP} AS DOUBLE) / nul
 @query(f"SELECT doc_id, t = '' OR (n >= 3 AND ((n >= 15 AND share > 0.5) OR share > 0.7)) AS spam, round(share, 6) AS share FROM ({_SHARES})")
 def spam_flag(spark, sf_dir):
     """Is most of a document one word? Counted inside the row."""
-    top = S.top_share(F.transform(S.words_of(F.col("text")), F.lower))
-    return docs(spark, sf_dir).select("doc_id", S.is_spam(F.col("text")).alias("spam"), F.round(top["share"], 6).alias("share"))
+    own = docs(spark, sf_dir).select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) == 0).alias("none"), S.top_share(F.transform(S.words_of(F.col("text")), F.lower)).alias("top"))
+    return own.select("doc_id", (F.col("none") | S.repetitive(F.col("top"))).alias("spam"), F.round("top.share", 6).alias("share"))
 
 
 _PIECES = " OR ".join(f"len(list_filter(range(0, CAST(least(length(s) - {n}, 200) AS BIGINT), 10), lambda i: trim(s[i + 1:i + {n}]) <> '' AND length(s) - length(replace(s, s[i + 1:i + {n}], '')) >= 4 * {n})) > 0" for n in (15, 20, 30, 40))
