@@ -20,6 +20,7 @@ from .common import col, fold, mix, sampled
 
 DIM = 512
 BUCKETS = 1 << 18  # of trigrams, in the profiles that likeness is measured by
+PENDING = 1 << 20  # trigrams of a language that are gathered before their vectors are bound
 SEED = 20_241
 MAX_TRAIN = 20_000  # documents of a language, by expectation, that its prototype is learned from
 FEW = 0.001  # share of the training texts and their beginnings that may lie below the bound of likeness before MARGIN
@@ -75,17 +76,29 @@ def _bundles(own: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
 
 
 def _sums(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each language the sums over its texts, each counting as 1: of vectors (at 0 to DIM - 1), of trigram buckets (beyond)."""
-    codes, totals = letter_codes(), {}
+    """For each language the sums over its texts, each counting as 1: of vectors (at 0 to DIM - 1), of trigram buckets (beyond).
+
+    A trigram's vector is bound once for all texts gathered so far, at most PENDING trigrams of a language."""
+    codes, totals, pending = letter_codes(), {}, {}
+
+    def flush(lang: str) -> None:
+        grams, n = (np.concatenate(x) for x in zip(*pending.pop(lang), strict=True))
+        known, back = np.unique(grams, return_inverse=True)
+        shares, total = np.bincount(back, n, len(known)), totals.setdefault(lang, np.zeros(DIM + BUCKETS))
+        for i in range(0, len(known), 20_000):
+            total[:DIM] += shares[i : i + 20_000] @ gram_vectors(known[i : i + 20_000])
+        np.add.at(total, DIM + buckets(known), shares)
+
     for page in pages:
-        for begin in range(0, len(page), 64):
-            part = page.iloc[begin : begin + 64]
-            own = [trigrams(t, codes) for t in part["text"]]
-            for lang, (grams, n), bundle in zip(part["lang"], own, _bundles(own), strict=True):
-                if len(grams):
-                    total = totals.setdefault(lang, np.zeros(DIM + BUCKETS))
-                    total[:DIM] += bundle / n.sum()
-                    np.add.at(total, DIM + buckets(grams), n / n.sum())
+        for lang, text in zip(page["lang"], page["text"], strict=True):
+            grams, n = trigrams(text, codes)
+            if len(grams):
+                own = pending.setdefault(lang, [])
+                own.append((grams, n / n.sum()))
+                if len(own) % 256 == 0 and sum(len(g) for g, _ in own) > PENDING:
+                    flush(lang)
+    for lang in list(pending):
+        flush(lang)
     for lang, total in totals.items():
         at = np.flatnonzero(total)
         yield pd.DataFrame({"lang": lang, "at": at, "n": total[at]})
