@@ -61,7 +61,8 @@ def caps_ratio(text: Column) -> Column:
 
 def tokens(text: Column, stop: tuple[str, ...] = (), least: int = 3, most: int = 24) -> Column:
     """Lower-case letter runs without stop words, within a length and with a vowel."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: (F.length(w) >= least) & (F.length(w) <= most) & w.rlike("[aeiou]"))
+    vowel = lambda w: reduce(Column.__or__, [F.contains(w, F.lit(v)) for v in "eaiou"])  # noqa: E731  a pattern would be matched anew for each word
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: (F.length(w) >= least) & (F.length(w) <= most) & vowel(w))
     return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
 
 
