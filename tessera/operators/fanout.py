@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import subprocess
+import sys
 import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
@@ -59,11 +62,15 @@ def _profile(resources: dict[str, int]):
 
 def per_process(load: Callable[[], object]) -> Callable[[], object]:
     """load, run once in each Python worker process however many tasks it serves, such as to load a model."""
-    key = f"{load.__module__}.{load.__qualname__}"
-    return lambda: _LOADED[key] if key in _LOADED else _LOADED.setdefault(key, load())
+    key = hashlib.sha256(cloudpickle.dumps(load)).hexdigest()
 
+    def get() -> object:
+        kept = vars(sys).setdefault("_tessera_once", {})  # functions are shipped by value, so a global of this module wouldn't last
+        if key not in kept:
+            kept[key] = load()
+        return kept[key]
 
-_LOADED: dict[str, object] = {}
+    return get
 
 
 def chunks(items: list, size: int) -> list[list]:

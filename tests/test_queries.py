@@ -54,3 +54,9 @@ def test_entry_without_the_training_data_parts(tmp_path):
     (tmp_path / "corpus_pipeline.py").write_text("")
     done = subprocess.run(ask, cwd=tmp_path, capture_output=True, text=True)
     assert done.returncode and "no_such_module" in done.stderr
+
+
+def test_executors_need_no_copy_of_the_library(small, tmp_path):
+    from tests import alone
+
+    assert all(alone.rows(small, str(tmp_path), "knn_inverted", "bootstrap_ci", "casefold_norm", "dirichlet_search"))
