@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -97,6 +98,14 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def once(key: str, build: Callable[[], object]) -> object:
+    """build(), once in a process: functions are shipped by value, so a cache among their globals would last for one task."""
+    kept = vars(sys).setdefault("_tessera_once", {})
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")

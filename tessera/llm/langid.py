@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fold, mix, sampled
+from .common import col, fold, mix, once, sampled, small_batches
 
 DIM = 512
 BUCKETS = 1 << 18  # of trigrams, in the profiles that likeness is measured by
@@ -28,10 +27,9 @@ MARGIN = 0.5  # of that quantile: the bound, so that clean texts unlike the trai
 LONGEST = 4096  # words of the longest beginning; beyond it the whole text is taken
 
 
-@cache
 def letter_codes() -> np.ndarray:
     """Each code point that is a letter stands for itself, any other for 0."""
-    return np.array([point if unicodedata.category(chr(point))[0] == "L" else 0 for point in range(0x110000)], np.int64)
+    return once("letter codes", lambda: np.array([point if unicodedata.category(chr(point))[0] == "L" else 0 for point in range(0x110000)], np.int64))
 
 
 def letter_vectors(letters: np.ndarray) -> np.ndarray:
@@ -122,7 +120,8 @@ def profiles(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
     What reaches the driver is at most DIM + BUCKETS numbers a language."""
     sums = rows.select("lang", "text").mapInPandas(_sums, "lang string, at int, n double").groupBy("lang", "at").agg(F.sum("n").alias("n"))
-    found = sums.toPandas()
+    with small_batches(rows.sparkSession):
+        found = sums.toPandas()
     names = sorted(set(found["lang"]))
     out = np.zeros((len(names), DIM + BUCKETS))
     out[np.searchsorted(names, found["lang"].to_numpy(str)), found["at"].to_numpy(np.int64)] = found["n"]
@@ -164,7 +163,8 @@ def least_likeness(rows: DataFrame, units: np.ndarray) -> np.ndarray:
             yield pd.DataFrame(out, columns=["bits", "likeness"])
 
     found = rows.select("text").mapInPandas(beginnings, "bits int, likeness double").groupBy("bits").agg(F.percentile(F.round("likeness", 5), F.lit(FEW)).alias("least"))
-    own = {r["bits"]: MARGIN * r["least"] for r in found.collect()}
+    with small_batches(rows.sparkSession):
+        own = {r["bits"]: MARGIN * r["least"] for r in found.collect()}
     out = np.full(64, np.nan)
     for bits, least in own.items():
         out[bits] = least

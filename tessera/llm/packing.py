@@ -14,7 +14,6 @@ import json
 import random
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, col
+from .common import Scratch, col, once
 
 SIZE = 1024
 END = 2  # the id that ends each document
@@ -42,7 +41,6 @@ def probes() -> list[str]:
     return ["".join(chr(rng.randrange(*rng.choice(blocks))) for _ in range(n)) for n in range(200)] + ["it's we'll 'S\n\n  x \r\n 12345 A1b2"]
 
 
-@cache
 def encoder(path: str):
     """A function from text to ids, equal to tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).
 
@@ -50,6 +48,10 @@ def encoder(path: str):
     a text that holds one of the special tokens, and any other kind of file, goes to the tokenizers library itself. So does
     everything if the two should differ on the probes. A process loads a file once.
     """
+    return once(f"encoder {path}", lambda: _load(path))
+
+
+def _load(path: str):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)

@@ -658,3 +658,9 @@ def test_near_classes_of_a_table(spark):
     want = {k: min(own) for own in groups.values() for k in own}
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and len(set(want.values())) < len(rows)
+
+
+def test_executors_need_no_copy_of_the_subpackage(small, tmp_path):
+    from tests import alone
+
+    assert all(alone.rows(small, str(tmp_path), "op1_language_id", "op2_quality", "op4_substring_dedup", "op7_pack", "op8_toxicity"))
