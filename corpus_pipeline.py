@@ -71,11 +71,13 @@ def _without(rows: DataFrame, row: str, numbers: DataFrame, scratch: Scratch) ->
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; those without a letter (or a text) or unlike every language go. All rows of
     a repeated id are judged one by one; columns keep their names and values, whatever they are called."""
-    rows = langid.training(docs, fold(F.col("doc_id"), 3) != 1)
-    languages, prototypes, units = langid.profiles(rows)
-    names = _free(docs, "__language"), _free(docs, "__likeness")
-    found = langid.predict(docs, (languages, prototypes), like=(units, langid.least_likeness(rows, units)), names=names)
-    return found.where(col(names[0]) != "und").select(*map(col, docs.columns))
+    scratch = _scratch(spark)
+    learned = langid.training(docs, fold(F.col("doc_id"), 3) != 1)
+    languages, prototypes, units = langid.profiles(learned)
+    rows, row = _numbered(docs, scratch)
+    names = _free(rows, "__language"), _free(rows, "__likeness")
+    found = langid.predict(rows.select(row, "text"), (languages, prototypes), like=(units, langid.least_likeness(learned, units)), names=names)
+    return _without(rows, row, found.where(col(names[0]) == "und"), scratch)
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
