@@ -8,9 +8,10 @@ documents agrees is their weighted Jaccard similarity, without bias. A process i
 beat the latest of the components, so a signature takes little more than one point a shingle.
 
 Signatures are cut into bands. Copies are collapsed first. In each bucket every text is compared with the bucket's first
-text only, then the links found are closed to classes, and pairs of a bucket that are still in different classes are
-compared as well. So groups of any size cost about one comparison a text and bucket, and no candidate link is lost.
-Each comparison is the exact multiset overlap.
+text only, then the links found are closed to classes. Texts that are still in different classes are compared with a few
+central texts and, in rounds, with a few drawn at random. Pairs of a bucket that are left in different classes are bounded
+one by one, which grows with the square of what is left, and compared where the bounds allow a link: no candidate link is
+lost. Each comparison is the exact multiset overlap.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ WORDS = 5
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 THRESHOLD = 0.8
+PICKS = 4  # texts of a mixed bucket's commonest class, and others, that each text outside that class is compared with in a round
 CENTRAL = 8  # texts that all members of mixed buckets with one commonest class are compared with
 GROUPS = 64  # of shingles, whose counts bound the overlap of two texts
 WIDTH = 6  # bytes of a shingle's number
@@ -301,17 +303,58 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
         to_center = about.join(central, "main").where(possible).select(F.greatest("rid", "b").alias("a"), F.least("rid", "b").alias("b")).distinct()
         joined(apart(to_center), "links3")
 
-        rest = mixed().join(common, "rid").where(F.col("shared") >= threshold * F.col("size") - 1e-9)
-        rest = scratch.save(rest.withColumn("step", F.floor(F.log("size") / math.log(1.01 / threshold))), "rest2")  # fitting sizes: the same step or the next one
-        left = rest.where("label <> main").select("bucket", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)).alias("step"), F.col("rid").alias("a"), F.col("size").alias("sa"), F.col("shared").alias("ma"), F.col("groups").alias("ga"), F.col("label").alias("ca"))
-        right = rest.select("bucket", "step", F.col("rid").alias("b"), F.col("size").alias("sb"), F.col("shared").alias("mb"), F.col("groups").alias("gb"), F.col("label").alias("cb"), (F.col("label") == F.col("main")).alias("inner"))
-        overlap = F.aggregate(F.zip_with("ga", "gb", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
-        possible = (F.col("ca") != F.col("cb")) & (F.col("inner") | (F.col("a") < F.col("b")))
-        possible = possible & bounded("sa", "sb", F.least("ma", "mb")) & bounded("sa", "sb", overlap)  # the cheaper bound first
-        across = left.join(right, ["bucket", "step"]).where(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        joined(across, "links4")
+        def open_rows(name: str) -> DataFrame:
+            """Rows of mixed buckets whose texts share enough of their shingles to be similar to any other."""
+            return scratch.save(mixed().join(common, "rid").where(F.col("shared") >= threshold * F.col("size") - 1e-9), name)
+
+        def either(of: DataFrame, n: str, *more) -> DataFrame:
+            return of.select("bucket", F.col("rid").alias(n), F.col("size").alias(f"s{n}"), F.col("shared").alias(f"m{n}"), F.col("groups").alias(f"g{n}"), F.col("label").alias(f"c{n}"), (F.col("label") == F.col("main")).alias(f"in{n}"), *more)
 
-    scratch.drop("full", "sets", "common", "central", "rest1", "rest2")
+        overlap = F.aggregate(F.zip_with("ga", "gb", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+        possible = (F.col("ca") != F.col("cb")) & bounded("sa", "sb", F.least("ma", "mb")) & bounded("sa", "sb", overlap)  # the cheaper bound first
+        pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+
+        def drawn(rest: DataFrame, name: str) -> DataFrame:
+            """PICKS rows of each bucket's commonest class and PICKS others, by a hash that differs from bucket to bucket."""
+            inner, picks = F.col("label") == F.col("main"), []
+            for k in range(PICKS):
+                place = F.xxhash64("rid", "bucket", F.lit(name), F.lit(k))
+                picks += [F.min_by("rid", F.when(inner, place)), F.min_by("rid", F.when(~inner, place))]
+            own = rest.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("rid"))
+            return scratch.save(rest.join(own.select("bucket", F.explode_outer("rid").alias("rid")), ["bucket", "rid"]), name)
+
+        # Where texts outside a bucket's commonest class have links to many texts, a few drawn at random find one of them. Rounds go
+        # on as long as they settle a tenth of such rows, so they cost a multiple of the rows; what they leave is compared in full.
+        rest, step, before = open_rows("rest2-0"), 0, math.inf
+        while True:
+            many = rest.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 2 * PICKS).select("bucket")
+            many = scratch.save(rest.join(many, "bucket"), f"many-{step}")
+            outer = many.where("label <> main").count()
+            if not outer or outer > 0.9 * before:
+                break
+            met = either(many.where("label <> main"), "a").join(either(drawn(many, f"drawn-{step}"), "b"), "bucket").where(possible)
+            joined(apart(met.select(*pair).distinct()), f"links4-{step}")
+            scratch.drop(f"many-{step}", f"drawn-{step}")
+            step, before = step + 1, outer
+            rest = open_rows(f"rest2-{step}")
+            scratch.drop(f"rest2-{step - 1}")
+        scratch.drop(f"many-{step}")
+
+        # A pair is compared in the first of the buckets that both texts are in, and only where the other's size fits.
+        homes = rest.groupBy("rid").agg(F.collect_set("bucket").alias("homes"))
+        homes = scratch.save(rest.join(homes, "rid"), "homes")
+        scratch.drop(f"rest2-{step}")
+        stride = math.log(1.01 / threshold) / 4
+        most = F.least(F.col("size") / threshold, (1 + threshold) / threshold * F.col("shared") - F.col("size"))  # of a text that may be similar
+        from_to = [F.floor(F.log(x) / stride) for x in (threshold * F.col("size") - 1e-6, most + 1e-6)]
+        left = homes.where((F.col("label") != F.col("main")) & (most + 1e-6 >= threshold * F.col("size") - 1e-6))
+        left = either(left, "a", F.col("homes").alias("ha"), F.explode(F.sequence(*from_to)).alias("step"))
+        right = either(homes, "b", F.col("homes").alias("hb"), F.floor(F.log("size") / stride).alias("step"))
+        first = F.array_min(F.array_intersect("ha", "hb")) == F.col("bucket")
+        across = left.join(right, ["bucket", "step"]).where((F.col("inb") | (F.col("a") < F.col("b"))) & possible & first)
+        joined(apart(across.select(*pair)), "links5")
+
+    scratch.drop("full", "sets", "common", "central", "rest1", "homes")
     whole = member.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rid", "doc_id", F.coalesce("label", "rep").alias("label"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
     group = whole.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("class_size")).where("class_size > 1")

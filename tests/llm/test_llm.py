@@ -191,6 +191,35 @@ def test_near_dedup(spark, empty):
     assert sum(r["kept"] for r in got) == len({r["class_id"] for r in got}) and near_dedup.near_classes(empty).count() == 0
 
 
+def test_near_links_of_a_family_are_not_compared_pair_by_pair(spark):
+    """Each text of a family is similar to most others, but its buckets' first and central texts are others' that are not."""
+    rng = random.Random(1)
+    base, texts = [f"b{i}" for i in range(400)], []
+    for k in range(80):
+        own = list(base)
+        for i in range(100):
+            own[(50 * (k % 8) + i) % 400] = f"f{k // 8}x{i}"
+        texts.append(" ".join(own))
+    for _ in range(50):
+        own = list(base)
+        for i in rng.sample(range(400), 4):
+            own[i] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    compared = {}
+
+    class Counted(common.Scratch):
+        def save(self, df, name, rows=None):
+            out = super().save(df, name, rows)
+            if name.endswith("-pairs") and name >= "links4":
+                compared[name] = out.count()
+            return out
+
+    rows = list(enumerate(texts))
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), scratch=Counted(spark)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(rows)
+    assert 0 < compared[max(compared)] < 400, compared  # the last step compares in full what is left: 840 pairs before the rounds
+
+
 def test_near_odd_rows(odd):
     got = near_dedup.near_classes(odd).collect()
     assert len(got) == 11 and sum(r["kept"] for r in got) == 7
